@@ -19,7 +19,7 @@ from .common import WS_CLASS, materialize, parallelism
 #: Words in a k-mer; the inner parts are single words.
 K_WORDS = 4
 #: Characters in a k-mer and in its inner parts, for short texts.
-K_CHARS, S_CHARS = 12, 3
+K_CHARS, S_CHARS = 6, 2
 #: Texts below so many code points have character anchors too.
 SHORT = 400
 #: Hashes kept per alphabet.

@@ -60,7 +60,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, mo
     return per.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).cast("double").alias("target"))
 
 
-def solve_multipliers(hist: DataFrame, targets: DataFrame, tilt: float, rounds: int = 60, tol: float = 1e-7) -> DataFrame:
+def solve_multipliers(hist: DataFrame, targets: DataFrame, tilt: float, rounds: int = 60, tol: float = 1e-6) -> DataFrame:
     """(source, source_size, target, mean, lam) by safeguarded Newton on the dual.
 
     ``hist`` has (source, size, n). A target of 0 gives -inf, one of ``MOST``

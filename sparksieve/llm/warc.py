@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import scratch_path, small_batches
 
@@ -217,10 +216,8 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> Dat
     records are recovered, and gaps give [offset, gap_end) with a reason. An
     archive file is one unit of work; the writer keeps files small.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     small_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    assert key  # batches hold few files: content sizes are bounded by FILE_ROWS records
     return files.mapInPandas(_read(keep_payload), RECORD_SCHEMA)
 
 
@@ -248,4 +245,3 @@ SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, p.d AS payload
        CASE WHEN page_id > first THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.d = f.d
 """
-_ = T
