@@ -123,12 +123,15 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     ids = materialize(next_ids(docs, id_col), "fp-next")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    a = docs.select(F.col(id_col).alias("id"), text.alias("text"), sketch(text).alias("sk")).repartition("id")
+    # Both joins below read one exchange of the texts. The key is a struct, which is never null: a null
+    # filter that the optimizer added on one side alone would make it two exchanges.
+    a = docs.select(F.struct(F.col(id_col).alias("id")).alias("k"), text.alias("text"), sketch(text).alias("sk")).repartition("k")
     first = F.lit(None) if ids.isEmpty() else F.lit(ids.agg(F.min("id")).first()[0])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    left = a.join(ids, "id", "left").select("id", F.coalesce("next", first.cast(docs.schema[id_col].dataType)).alias("next"), n.alias("n"), half.alias("half"), F.substring(F.col("text"), F.lit(1), n - half).alias("head"), "sk")
-    right = a.where("id is not null").groupBy("id").agg(F.min_by(F.struct("text", "sk"), "text").alias("o")).select(F.col("id").alias("oid"), F.col("o.text").alias("otext"), F.col("o.sk").alias("osk"))
+    then = ids.select(F.struct("id").alias("k"), "next")
+    left = a.join(then, "k", "left").select(F.col("k.id").alias("id"), F.struct(F.coalesce("next", first.cast(docs.schema[id_col].dataType)).alias("id")).alias("next"), n.alias("n"), half.alias("half"), F.substring(F.col("text"), F.lit(1), n - half).alias("head"), "sk")
+    right = a.groupBy("k").agg(F.min_by(F.struct("text", "sk"), "text").alias("o")).select(F.col("k").alias("oid"), F.col("o.text").alias("otext"), F.col("o.sk").alias("osk"))
     j = left.join(right, left["next"] == right["oid"], "left")
     edited = F.concat("head", F.coalesce(F.substring(F.col("otext"), F.lit(1), F.col("half")), F.lit("")))
     j = j.select("id", "n", "sk", F.coalesce("osk", "sk").alias("osk"), edited.alias("edited"))
