@@ -83,7 +83,7 @@ def _refined(c: DataFrame) -> DataFrame:
     pre, raw = F.coalesce("pre", F.lit("")), F.col("raw")
     # A JSON escape letter glued to an address is not part of it.
     cut = of("email") & F.endswith(pre, F.lit("\\")) & F.substring(raw, 1, 1).isin("n", "r", "t", "b", "f", "v")
-    c = c.withColumn("raw", F.when(cut, F.substring(raw, 2, 1 << 30)).otherwise(raw)).withColumn("off", F.when(cut, F.col("off") + 1).otherwise(F.col("off")))
+    c = c.withColumns({"raw": F.when(cut, F.substring(raw, 2, 1 << 30)).otherwise(raw), "off": F.when(cut, F.col("off") + 1).otherwise(F.col("off"))})
     low = F.lower(F.coalesce("pre", F.lit("")))
     bad_mail = F.startswith(F.col("raw"), F.lit("@")) | F.startswith(F.lower("raw"), F.lit("noreply@")) | (F.lower("raw") == "vibe@mistral.ai") | contains_any(low, ("useremail", "user's email", "user email addr"))
     glued = F.coalesce("pre", F.lit("")).rlike(r"[0-9A-Za-z_]\z") & ~F.coalesce("pre", F.lit("")).rlike(r"\\n\z")

@@ -115,7 +115,8 @@ def _even_chunks(s: bytes) -> bool:
     return len(parts) >= 4 and len({len(p) for p in parts}) == 1
 
 
-# Suffixes and finders, in the order in which layers are tried.
+# Suffixes and finders, in the order in which layers are tried. The look-behind of the last
+# one changes no match (a match from inside a word would have begun at its start) but keeps the search linear.
 _B64 = rb"[A-Za-z0-9+/]{24,}={0,2}"
 LAYERS = [
     Layer("/base64-decoded", re.compile(_B64), from_base64),
@@ -129,7 +130,7 @@ LAYERS = [
     Layer("/fullwidth-decoded", re.compile(rb"(?:\\u[fF][fF][0-9A-Fa-f]{2}|\xef\xbc[\x81-\xbf]|\xef\xbd[\x80-\x9e]|\xe3\x80\x80){8,}"), from_fullwidth),
     Layer("/qp-decoded", re.compile(rb"(?:=[0-9A-Fa-f]{2}){8,}"), from_quoted_printable),
     Layer("/whitespace-decoded", re.compile(rb"(?:[0-9A-Za-z]{2,8}[ \t]){3,}[0-9A-Za-z]{2,8}"), lambda s: re.sub(rb"[ \t]", b"", s), _even_chunks),
-    Layer("/continuation-decoded", re.compile(rb"[0-9A-Za-z_]+(?:\\+(?:\r?\n|n)[0-9A-Za-z_]+)+"), lambda s: re.sub(rb"\\+(?:\r?\n|n)", b"", s)),
+    Layer("/continuation-decoded", re.compile(rb"(?<![0-9A-Za-z_])[0-9A-Za-z_]+(?:\\+(?:\r?\n|n)[0-9A-Za-z_]+)+"), lambda s: re.sub(rb"\\+(?:\r?\n|n)", b"", s)),
 ]
 
 
@@ -281,7 +282,7 @@ class ByteScanner:
 
 def may_hold_layers(text: Column) -> Column:
     """True if any finder can match; each pattern is a short fixed-width prefix of one, so no loop can recurse deeply."""
-    short = (r"[A-Za-z0-9+/]{16}", r"\\u[0-9A-Fa-f]{4}", r"%[0-9A-Fa-f]{2}%?", r"&#x?[0-9A-Fa-f]{1,8};", r"[\uFF01-\uFF5E\u3000]{4}", r"=[0-9A-Fa-f]{2}=", r"\\+(?:\r?\n|n)", r"(?<![0-9A-Za-z])([0-9A-Za-z]{2})[ \t](?:[0-9A-Za-z]{2}[ \t]){2}[0-9A-Za-z]{2}")
+    short = (r"[A-Za-z0-9+/]{16}", r"\\u[0-9A-Fa-f]{4}", r"%[0-9A-Fa-f]{2}%?", r"&#x?[0-9A-Fa-f]{1,8};", r"[\uFF01-\uFF5E\u3000]{4}", r"=[0-9A-Fa-f]{2}=", r"\\(?:\r?\n|n)", r"(?<![0-9A-Za-z])([0-9A-Za-z]{2})[ \t](?:[0-9A-Za-z]{2}[ \t]){2}[0-9A-Za-z]{2}")
     out = F.lit(False)
     for p in short[:-1]:
         out = out | text.rlike(p)

@@ -73,7 +73,7 @@ def outcome_rows(decisions: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value) of log files: each file is one row of the whole-text source, split in the plan, so line numbers follow its order."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.providers import GOOGLE, secret_headers, secret_params
 
@@ -41,7 +42,7 @@ def decode_body(body: bytes, encoding: str | None) -> bytes | None:
     return None
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def decoded_body(body: pd.Series, encoding: pd.Series) -> pd.Series:
     """decode_body() by rows; bodies without an encoding, or that cannot be decoded, stay as they are."""
     out = []
@@ -231,7 +232,7 @@ def blank_opaque(data: bytes) -> bytes:
     return bytes(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _blank(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else blank_opaque(t.encode("utf-8", "surrogatepass")).decode("utf-8", "surrogatepass") for t in texts])
 
