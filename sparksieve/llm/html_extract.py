@@ -56,6 +56,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []  # tag, whether it silences, section number
         self.silent = 0
+        self.mute = 0  # silent elements within a line: their text is dropped and does not end the line
         self.in_main = 0
         self.open_p = 0
         self.sections = [(0, -1, "page")]  # number, parent, kind
@@ -120,6 +121,7 @@ class _Lines(HTMLParser):
         quiet = self._quiet(tag, attrs)
         self.stack.append((tag, quiet, self.section))
         self.silent += quiet
+        self.mute += quiet and not block
         self.in_main += tag in MAIN
         self.open_p += tag == "p"
         role = next((v for k, v in attrs if k == "role"), None)
@@ -138,6 +140,7 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self.cut()
         self.silent -= quiet
+        self.mute -= quiet and tag not in BLOCKS
         self.in_main -= tag in MAIN
         self.open_p -= tag == "p"
         self.section = section
@@ -163,7 +166,8 @@ class _Lines(HTMLParser):
         self._close(tag, within=("td", "th", "article", "main", "body") if tag not in ("article", "main", "body", "html", "table", "tr", "tbody", "td", "th", "footer", "nav", "header", "aside", "section", "div", "form") else ())
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        if not self.mute:
+            self.parts.append(data)
 
 
 def page_lines(html: str) -> tuple[list[tuple[str, int, int, bool]], list[tuple[int, int, str]]]:
