@@ -29,8 +29,8 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 #: No document and no source is taken more often.
 MOST = 2
-#: Documents in one ranking group; larger cells are split by a hash.
-CELL = 4096
+#: Documents in one ranking group, about; larger cells are split by a hash.
+CELL = 512
 
 
 @F.pandas_udf(T.LongType())
@@ -96,20 +96,19 @@ def solve_multipliers(hist: DataFrame, targets: DataFrame, tilt: float, rounds:
 def _round_cells(pdf: pd.DataFrame) -> pd.DataFrame:
     """Whole copies for each cell of one source, the rounding error carried from large sizes to small.
 
-    A source has at most one cell per distinct size and hash bucket, so the
-    group grows with the longest document and CELL, not with the rows.
+    A source has one cell per distinct size, so the group is bounded by the
+    length of the longest document, whatever the number of rows.
     """
-    pdf = pdf.sort_values(["size", "bucket"], ascending=[False, True], kind="stable")
+    pdf = pdf.sort_values("size", ascending=False, kind="stable")
     want = took = 0.0
     out = []
     for size, n, rate in zip(pdf["size"], pdf["n"], pdf["rate"]):
         want += size * n * rate
-        k = 0 if size == 0 else int(min(MOST * n, max(0, round((want - took) / size))))
-        if size == 0:
-            k = int(round(n * rate))
+        k = round((want - took) / size) if size else round(n * rate)
+        k = int(min(MOST * n, max(0, k)))
         took += k * size
         out.append(k)
-    return pdf.assign(copies=out)[["source", "size", "bucket", "n", "rate", "copies"]]
+    return pdf.assign(copies=out)[["source", "size", "n", "rate", "copies"]]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, budget: float = BUDGET, tilt: float = 0.5, seed: int = 42) -> DataFrame:
@@ -142,11 +141,17 @@ def mix_sizes(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, tilt: f
     wide = F.ceil(F.col("n") / CELL)
     big = hist.select(F.col("source").alias("bs"), F.col("size").alias("bz"), wide.alias("wide")).where("wide > 1")
     placed = sizes.join(big, sizes["source"].eqNullSafe(big["bs"]) & (sizes["size"] == big["bz"]), "left").select("id", "source", "size", F.pmod(h, F.coalesce("wide", F.lit(1))).alias("bucket"))
-    cells = placed.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     s = solved.withColumnRenamed("source", "ss")
-    cells = cells.join(s, cells["source"].eqNullSafe(s["ss"])).select("source", "size", "bucket", "n", rate.alias("rate"))
-    cells = cells.groupBy("source").applyInPandas(_round_cells, "source string, size long, bucket long, n long, rate double, copies long")
-    cells = materialize(cells, "mix-cells").toDF("cs", "cz", "cb", "n", "rate", "k")
+    cells = hist.join(s, hist["source"].eqNullSafe(s["ss"])).select("source", "size", "n", rate.alias("rate"))
+    cells = cells.groupBy("source").applyInPandas(_round_cells, "source string, size long, n long, rate double, copies long")
+    cells = cells.toDF("cs", "cz", "n", "rate", "k")
+    # A cell's copies are dealt to its buckets by running sums, so that they add up.
+    parts = placed.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("m"))
+    parts = parts.join(cells, parts["source"].eqNullSafe(F.col("cs")) & (F.col("size") == F.col("cz")))
+    upto = F.sum("m").over(Window.partitionBy("source", "size").orderBy("bucket"))
+    share = lambda x: F.floor(x.cast("decimal(20,0)") * (F.col("k") % F.col("n")).cast("decimal(18,0)") / F.col("n")).cast("long")
+    parts = parts.withColumn("upto", upto).select("cs", "cz", F.col("bucket").alias("cb"), F.col("m").alias("n"), "rate", (F.floor(F.col("k") / F.col("n")) * F.col("m") + share(F.col("upto")) - share(F.col("upto") - F.col("m"))).alias("k"))
+    cells = materialize(parts, "mix-cells")
     rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(h, "id")) - 1
     ranked = placed.withColumn("i", rank)
     out = ranked.join(cells, ranked["source"].eqNullSafe(F.col("cs")) & (F.col("size") == F.col("cz")) & (F.col("bucket") == F.col("cb")))
