@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from sparksieve.llm import decontaminate, langid, line_dedup, mixing, simhash
 from sparksieve.llm.common import scratch_path, table
 
-#: Words in a shingle of the near-duplicate stage. Three differing bits of 64 are an estimated similarity well above 0.8.
-SHINGLE = 5
+#: Words in a shingle of the near-duplicate stage, and the differing bits that link two fingerprints. One word
+#: changed in 200 moves about five bits; unrelated texts come within seven with probability 4e-11. See the README
+#: for the share of pairs found by similarity.
+SHINGLE, BITS, BLOCKS = 5, 7, 3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.drop_near_copies(docs, shingle=SHINGLE)
+    return simhash.drop_near_copies(docs, shingle=SHINGLE, max_bits=BITS, shared=BLOCKS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

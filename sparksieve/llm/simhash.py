@@ -1,9 +1,9 @@
 """SimHash near-dedup over a Gray-order hierarchical index.
 
 The index has two kinds of levels. Upper nodes are masked bit patterns: the 64
-bits are cut into MAX_BITS + 2 blocks, and fingerprints that differ in at most
-MAX_BITS bits agree on two blocks at least, so both hang under the node that
-the bits of those two blocks name. These nodes are the unit of distribution.
+bits are cut into max_bits + shared blocks, and fingerprints that differ in at
+most max_bits bits agree on ``shared`` blocks at least, so both hang under the
+node that the bits of those blocks name. These nodes are the unit of distribution.
 Within a node, the members are sorted by Gray rank, and a tree is built over
 the order: each tree node holds the mask of the bits that all of its members
 share and their pattern. The join walks pairs of tree nodes, accumulates the
@@ -29,6 +29,8 @@ from .components import connected_components
 
 #: Fingerprints link at so many differing bits or fewer.
 MAX_BITS = 3
+#: Blocks that an upper node's mask takes in. More blocks mean smaller nodes and more of them.
+SHARED = 2
 #: Words in a shingle of the registered query; the pipeline takes five.
 SHINGLE = 3
 #: Members of an index node that one task works on together; larger nodes are dealt out in pairs of blocks.
@@ -75,12 +77,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(shingle), f"id {kind}, fp long")
 
 
-def masks(max_bits: int = MAX_BITS) -> list[int]:
-    """Masks of two of max_bits + 2 blocks of near-equal width."""
-    n = max_bits + 2
+def masks(max_bits: int = MAX_BITS, shared: int = SHARED) -> list[int]:
+    """Masks of ``shared`` of max_bits + shared blocks of near-equal width: near fingerprints agree on one of them."""
+    n = max_bits + shared
     edges = [64 * i // n for i in range(n + 1)]
     block = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return [x | y for x, y in combinations(block, 2)]
+    return [sum(c) for c in combinations(block, shared)]
 
 
 def _signed(x: int) -> int:
@@ -212,14 +214,12 @@ def _join_nodes(max_bits: int):
         def work(keys, fps, sides):
             cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             starts, ends = np.r_[0, cut], np.r_[cut, len(fps)]
-            many = np.flatnonzero(ends - starts > 1)
-            got = []
-            for k in many:
+            # Most nodes with company have two members: those are compared at once.
+            two = starts[ends - starts == 2]
+            two = two[_pop(fps[two] ^ fps[two + 1]) <= max_bits]
+            got = list(zip(fps[two].tolist(), fps[two + 1].tolist()))
+            for k in np.flatnonzero(ends - starts > 2):
                 part, side = fps[starts[k] : ends[k]], sides[starts[k] : ends[k]]
-                if len(part) == 2 and side[0] >= 0 and side[0] == side[1]:
-                    if int(part[0] ^ part[1]).bit_count() <= max_bits:
-                        got.append((int(part[0]), int(part[1])))
-                    continue
                 got += _forest([part[side == s] for s in np.unique(side)], max_bits) if len(set(side.tolist())) > 1 or side[0] == 0 else []
             return got
 
@@ -244,7 +244,7 @@ def _join_nodes(max_bits: int):
     return run
 
 
-def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, shared: int = SHARED) -> DataFrame:
     """(a, b): links whose components are those of all pairs of ``fp`` values at max_bits or fewer differing bits.
 
     ``distinct`` has distinct fingerprints in ``fp``. Nodes of more than
@@ -252,7 +252,7 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK
     holds more than two blocks, and no link is lost.
     """
     spark = distinct.sparkSession
-    ms = masks(max_bits)
+    ms = masks(max_bits, shared)
     nodes = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("p")) for i, m in enumerate(ms)])).alias("n")).select("n.m", "n.p", "fp")
     hot = nodes.groupBy("m", "p").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block)
     hot = materialize(hot.select("m", "p", F.ceil(F.col("c") / block).cast("int").alias("w")), "sh-hot")
@@ -274,7 +274,7 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK
     return links
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK, shared: int = SHARED) -> DataFrame:
     """(id_col, fingerprint, component_id): one row per input row.
 
     ``fingerprint`` is 16 lower-case hex digits, ``component_id`` the smallest
@@ -286,7 +286,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "sh-fps")
     distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "sh-distinct")
-    roots = connected_components(near_links(distinct.select("fp"), max_bits, block))
+    roots = connected_components(near_links(distinct.select("fp"), max_bits, block, shared))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = materialize(named.join(least, "root").select(F.col("fp").alias("f"), "component_id"), "sh-names")

@@ -232,8 +232,8 @@ def test_gray_join_and_blocks_lose_nothing(spark):
     for f, c in slow_components(fps).items():
         want.setdefault(c, set()).add(f)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    for block in (4096, 16):
-        roots = connected_components(simhash.near_links(df, block=block)).collect()
+    for block, shared in ((4096, 2), (16, 2), (4096, 3)):
+        roots = connected_components(simhash.near_links(df, block=block, shared=shared)).collect()
         got = {}
         for r in roots:
             got.setdefault(r["root"], set()).add(r["node"] % (1 << 64))
