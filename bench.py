@@ -24,13 +24,17 @@ HEADLINE = ("email_findings", "builtin_documents", "token_ids_documents", "digit
 
 
 def throughput(spark: SparkSession, line: str, hits: str) -> float:
-    """MB of text scanned per second by the built-in rules over 2,000 bodies of about 94 KiB or less."""
+    """MB of text scanned per second by the built-in rules over 320 bodies of about 94 KiB or less, after a warm-up."""
     body = line + hits
-    n = 2000
-    src = spark.range(n).select("id", F.concat(F.lit(body), F.col("id").cast("string")).alias("text")).repartition(4 * int(CPUS))
-    t = time.time()
-    detect(src, "id", "text", digits=False, tokens=False).write.format("noop").mode("overwrite").save()
-    return n * len(body) / 1e6 / (time.time() - t)
+
+    def scan(n: int) -> float:
+        src = spark.range(0, n, 1, 4 * int(CPUS)).select("id", F.concat(F.lit(body), F.col("id").cast("string")).alias("text"))
+        t = time.time()
+        detect(src, "id", "text", digits=False, tokens=False).write.format("noop").mode("overwrite").save()
+        return n * len(body) / 1e6 / (time.time() - t)
+
+    scan(int(CPUS))
+    return scan(320)
 
 
 def main() -> None:

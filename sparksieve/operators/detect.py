@@ -19,6 +19,10 @@ BEFORE, AFTER = 128, 64
 _RUN = r"(?<![0-9A-Za-z_\-])[0-9A-Za-z_\-]*(?:[A-Za-z]\-*[0-9]|[0-9]\-*[A-Za-z])[0-9A-Za-z_\-]*"
 
 
+#: Rules without keywords that no text without a digit can match.
+_NEED_DIGIT = frozenset({"credit-card", "private-ipv4", "bitcoin-legacy-address", "iban-generic", "fi-personal-id"})
+
+
 def context(body: Column, off: Column, end: Column) -> Column:
     """struct(lo, bytes): what stands around a span, as far as any filter looks."""
     lo = F.greatest(off - BEFORE, F.lit(0))
@@ -44,7 +48,10 @@ def candidates(src: DataFrame, id_col: str, builtin: bool, digits: bool, tokens:
     def entry(source, rule, pattern, words):
         p = F.lit(to_java(pattern))
         m = F.regexp_extract_all(text, p, 0)
-        m = F.when(contains_any(low, [w.lower() for w in words]), m).otherwise(none) if words else m
+        if words:
+            m = F.when(contains_any(low, [w.lower() for w in words]), m).otherwise(none)
+        elif source != BUILTIN or R.builtin_rules()[rule].rule_id in _NEED_DIGIT:
+            m = F.when(F.col("__digit"), m).otherwise(none)
         return F.struct(F.lit(source).alias("source"), F.lit(rule).alias("rule"), p.alias("p"), m.alias("m"))
 
     def placed(x):
@@ -123,7 +130,7 @@ def detect(payloads: DataFrame, id_col: str, text_col: str, builtin: bool = True
     src = payloads.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
     big = F.octet_length("__text") > R.SCAN_BYTES
     src = src.withColumn("__text", F.when(big, F.substring(F.encode("__text", "UTF-8"), F.lit(1), F.lit(R.SCAN_BYTES)).cast("string")).otherwise(F.col("__text")))
-    src = src.withColumn("__low", F.lower("__text")).withColumn("__body", F.encode("__text", "UTF-8"))
+    src = src.withColumn("__low", F.lower("__text")).withColumn("__body", F.encode("__text", "UTF-8")).withColumn("__digit", F.col("__text").rlike("[0-9]"))
     f = hits(candidates(src, id_col, builtin, digits and depth == 0, tokens and depth == 0, only))
     meta = F.coalesce(_meta(BUILTIN, R.builtin_rules()), _meta(DIGIT, R.DIGITS), _meta(TOKEN, R.TOKENS))
     f = f.withColumn("m", meta).select(F.col(id_col), "m.rule_id", "m.category", "m.severity", "off", "end", "raw", "source", "rule", "ctx")

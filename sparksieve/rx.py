@@ -39,8 +39,14 @@ def _translate(pattern: str, boundary: str, end: str) -> str:
     return "".join(out)
 
 
+#: Patterns whose leading boundary stands before a word character in every alternative.
+_WORD_FIRST = re.compile(r"\\b(?:\(\?:)?(?:\\d|\[A-Z\]|\[13\]|\[A-Za-z0-9\]\[|[A-Za-z0-9])")
+
+
 def to_java(pattern: str) -> str:
-    """The pattern for Spark's expressions."""
+    """The pattern for Spark's expressions; a leading boundary before a word character is just a look-behind."""
+    if _WORD_FIRST.match(pattern):
+        return f"(?<!{_W})" + _translate(pattern[2:], BOUNDARY, r"\z")
     return _translate(pattern, BOUNDARY, r"\z")
 
 
