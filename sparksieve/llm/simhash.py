@@ -35,6 +35,8 @@ SHARED = 2
 SHINGLE = 3
 #: Members of an index node that one task works on together; larger nodes are dealt out in pairs of blocks.
 BLOCK = 4096
+#: Texts of a candidate component that one task compares by their shingle sets; larger ones are dealt out in pairs of groups.
+GROUP = 128
 _LEAF = 24
 _PIECE = 1 << 15
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -293,11 +295,115 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return fps.join(names, fps["fp"] == names["f"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of fingerprint(), sorted; empty without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.unique(np.fromiter((digest(join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))), np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """Shared part of two sorted sets, 1 if both are empty; 0 where the sizes alone keep it below ``least``."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(b):
+        return 1.0
+    if len(a) / len(b) < least or not len(a):
+        return 0.0
+    same = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return same / (len(a) + len(b) - same)
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("root", "key", "fp", "w")], pa.array(sets, pa.list_(pa.int64()))], names=["root", "key", "fp", "w", "s"])
+
+    return run
+
+
+def _alike(max_bits: int, similarity: float):
+    """Links of keys within runs of equal (root, unit): near fingerprints whose shingle sets are alike."""
+
+    def work(rows) -> list[tuple[int, int]]:
+        keys, sets = [r[0] for r in rows], [r[3] for r in rows]
+        fps = np.array([r[1] for r in rows], np.int64).view(np.uint64)
+        sides = np.array([r[2] for r in rows])
+        uf, out = _Union(len(rows)), []
+        two = bool(sides.any())
+        for i in np.flatnonzero(sides == 0).tolist():
+            near = _pop(fps ^ fps[i]) <= max_bits
+            near &= (sides == 1) if two else (np.arange(len(rows)) > i)
+            for j in np.flatnonzero(near).tolist():
+                # Pairs that verified links join already need no look.
+                if uf.find(i) != uf.find(j) and jaccard(sets[i], sets[j], similarity) >= similarity:
+                    uf.join(i, j)
+                    out.append((keys[i], keys[j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def emit(links):
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            sets = b.column(5)
+            flat, ends = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
+            for k, row in enumerate(zip(*[b.column(c).to_pylist() for c in range(5)])):
+                if row[:2] != at:
+                    if len(held) > 1:
+                        yield emit(work(held))
+                    held, at = [], row[:2]
+                held.append((*row[2:], flat[ends[k] : ends[k + 1]].copy()))
+        if len(held) > 1:
+            yield emit(work(held))
+
+    return run
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK, shared: int = SHARED, group: int = GROUP) -> DataFrame:
+    """(id_col, component_id) like near_classes(), but a link also needs a Jaccard similarity of the shingle sets.
+
+    The nodes are distinct texts. Components of near fingerprints are only
+    candidates: within each, every pair at max_bits or fewer is compared by its
+    sets unless verified links join it already, so no verified link is lost
+    and none below ``similarity`` is made. A candidate of more than ``group``
+    texts is dealt out as all pairs of its groups. Only texts with company are
+    shuffled, once for each distinct one.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    src = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("key")).alias("x"), text.alias("text"))
+    fps = materialize(fingerprints(src, "x", "text", shingle).select("id.id", "id.key", "fp"), "sh-fps")
+    nodes = materialize(fps.groupBy("key", "fp").agg(F.min("id").alias("least")), "sh-nodes")
+    roots = connected_components(near_links(nodes.select("fp").distinct(), max_bits, block, shared))
+    named = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "sh-named")
+    many = named.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("root", F.ceil(F.col("c") / group).cast("int").alias("w"))
+    members = materialize(named.join(many, "root").select("root", "key", "fp", "w"), "sh-members")
+    texts = docs.select(F.xxhash64(text).alias("k"), text.alias("text")).join(members, F.col("k") == members["key"])
+    texts = texts.groupBy("root", "key", "fp", "w").agg(F.first("text").alias("text"))
+    sets = materialize(texts.mapInArrow(_sets(shingle), "root long, key long, fp long, w int, s array<long>"), "sh-sets")
+    at = F.pmod(F.xxhash64("key"), F.col("w")).cast("int")
+    unit = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda k: F.struct((F.least(at, k).cast("long") * F.col("w") + F.greatest(at, k)).alias("u"), F.when(at <= k, 0).otherwise(1).alias("side")))
+    units = sets.select("root", "key", "fp", "s", F.explode(unit).alias("x")).select("root", "x.u", "key", "fp", "x.side", "s")
+    units = units.repartition("root", "u").sortWithinPartitions("root", "u")
+    links = materialize(units.mapInArrow(_alike(max_bits, similarity), "a long, b long"), "sh-alike")
+    joined = connected_components(links)
+    of = nodes.join(joined, nodes["key"] == joined["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = materialize(of.join(least, "root").select(F.col("key").alias("k"), "component_id"), "sh-names")
+    return fps.join(names, fps["key"] == names["k"]).select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
     """The documents of which no nearer-numbered copy exists: one of each component stays, the one with the smallest id.
 
-    Rows with a null id are kept, since nothing tells them apart; rows that
-    share the kept id are all kept.
+    With ``similarity`` the components are those of similar_classes(), else of
+    near_classes(). Rows with a null id are kept, since nothing tells them
+    apart; rows that share the kept id are all kept.
     """
-    gone = near_classes(docs, id_col, text_col, **options).where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__sh_id")).distinct()
+    classes = near_classes(docs, id_col, text_col, **options) if similarity is None else similar_classes(docs, id_col, text_col, similarity, **options)
+    gone = classes.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__sh_id")).distinct()
     return docs.join(gone, docs[id_col] == F.col("__sh_id"), "left_anti")

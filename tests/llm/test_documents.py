@@ -222,6 +222,36 @@ def test_simhash(docs, rows, empty):
     assert kept == {*least.values(), None}
 
 
+def test_near_copies_are_verified(spark):
+    rng = random.Random(11)
+    rows, sets = [], {}
+    for g in range(6):  # a block said again and again outweighs the rest, so the fingerprints agree whatever the rest is
+        refrain = (prose(rng, 30) + " ") * 20
+        tails = [prose(rng, 14), prose(rng, 60), prose(rng, 60)]
+        for k, t in enumerate([tails[0], tails[0] + " more", *tails[1:], tails[1] + " and more", tails[1].upper()]):
+            rows.append((100 * g + k, refrain + t, "en", "a"))
+    rows += [(900, "", "en", "a"), (901, None, "en", "a"), (902, rows[0][1], "en", "a"), (None, rows[1][1], "en", "a")]
+    d = frame(spark, rows)
+    for i, t, *_ in rows:
+        ws = WORD.findall((t or "").lower())
+        sets[i] = {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+    ids = sorted(i for i in sets if i is not None)
+    text = {i: t for i, t, *_ in rows}
+    prints = {i: slow_print(text[i], 5) for i in ids}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0
+    near = [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 7]
+    up = {i: i for i in ids}
+    for a, b in near:
+        if like(a, b) >= 0.8:
+            x, y = up[a], up[b]
+            up = {i: min(x, y) if r in (x, y) else r for i, r in up.items()}
+    assert any(like(a, b) < 0.8 for a, b in near) and any(like(a, b) >= 0.8 for a, b in near)
+    for group in (256, 2):
+        got = simhash.drop_near_copies(d, similarity=0.8, shingle=5, max_bits=7, shared=3, group=group)
+        assert {r[0] for r in got.select("doc_id").collect()} == {*up.values(), None}
+    assert simhash.drop_near_copies(d.where("false"), similarity=0.8, shingle=5).count() == 0
+
+
 def test_gray_join_and_blocks_lose_nothing(spark):
     rng = random.Random(1)
     fps = set()
