@@ -95,6 +95,27 @@ def _header(raw: bytes) -> dict[str, str] | None:
     return out if out.get("content-length", "").isdigit() and "warc-type" in out else None
 
 
+def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
+    """Fields, block and end of the record at ``at``, or why there is none."""
+    if not data.startswith(b"WARC/1.", at):
+        return "no version line"
+    end = data.find(b"\r\n\r\n", at)
+    fields = _header(data[at:end]) if end >= 0 else None
+    if fields is None:
+        return "bad header"
+    start = end + 4
+    stop = start + int(fields["content-length"])
+    if stop > len(data):
+        return "truncated block"
+    if data[stop : stop + 4] != b"\r\n\r\n":
+        return "no record end"
+    block = data[start:stop]
+    digest = fields.get("warc-block-digest", "")
+    if digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:].lower():
+        return "block digest differs"
+    return fields, block, stop + 4
+
+
 def parse_records(data: bytes, at: int = 0, base: int | None = None) -> Iterator[tuple]:
     """('record', offset, fields, block) and ('gap', start, end, reason) for uncompressed WARC bytes.
 
@@ -107,29 +128,16 @@ def parse_records(data: bytes, at: int = 0, base: int | None = None) -> Iterator
     where = (lambda x: x) if base is None else (lambda x: base)
     bad_from, bad_why = None, ""
     while at < n:
-        end = data.find(b"\r\n\r\n", at)
-        fields = _header(data[at:end]) if end >= 0 and data.startswith(b"WARC/1.", at) else None
-        why = "no version line" if not data.startswith(b"WARC/1.", at) else "bad header"
-        if fields is not None:
-            start = end + 4
-            stop = start + int(fields["content-length"])
-            block = data[start:stop]
-            digest = fields.get("warc-block-digest", "")
-            if stop > n:
-                why = "truncated block"
-            elif data[stop : stop + 4] != b"\r\n\r\n":
-                why = "no record end"
-            elif digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:].lower():
-                why = "block digest differs"
-            else:
-                if bad_from is not None:
-                    yield ("gap", where(bad_from), where(at), bad_why)
-                    bad_from = None
-                yield ("record", where(at), fields, block)
-                at = stop + 4
-                continue
+        got = _record(data, at)
+        if not isinstance(got, str):
+            if bad_from is not None:
+                yield ("gap", where(bad_from), where(at), bad_why)
+                bad_from = None
+            yield ("record", where(at), got[0], got[1])
+            at = got[2]
+            continue
         if bad_from is None:
-            bad_from, bad_why = at, why
+            bad_from, bad_why = at, got
         m = _VERSION_LINE.search(data, at + 1)
         at = m.start() if m else n
     if bad_from is not None:
@@ -147,33 +155,49 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """Records and quarantined gaps of one archive, compressed by record or not.
+    """Records and quarantined gaps of one archive, compressed by record, plain or mixed.
 
-    A member that fails its length or checksum is skipped to the next offset
-    where a gzip member begins and decompresses whole; so one damaged member
-    costs only itself. Damage inside a member's WARC record is a gap over it.
+    Every offset may hold a gzip member or a plain record. Where neither passes
+    its checks, the nearest gzip magic or version line that follows is tried;
+    so damage costs only the records that it touches, wherever it lies. Damage
+    inside a member's WARC record is a gap over it. A whole member without any
+    record that lies in damaged bytes (a compressed body) is part of their gap.
     """
-    if not data.startswith(MAGIC) and MAGIC not in data[:64]:
-        yield from parse_records(data)
-        return
-    at, bad = 0, None
+    at, bad, why = 0, None, ""
     n = len(data)
+    magic = version = -1  # the next of each, so that neither is sought twice over the same bytes
     while at < n:
-        got = _inflate(data, at) if data.startswith(MAGIC, at) else None
-        if got is None:
-            bad = at if bad is None else bad
-            nxt = data.find(MAGIC, at + 1)
-            at = nxt if nxt >= 0 else n
+        got, found = None, None
+        if data.startswith(MAGIC, at):
+            got, reason = _inflate(data, at), "damaged member"
+            if got is not None:
+                if bad is not None and got[0] and not any(x[0] == "record" for x in parse_records(got[0])):
+                    at = got[1]
+                    continue
+                found = (("gap", at, got[1], x[3]) if x[0] == "gap" else x for x in parse_records(got[0], base=at))
+                end = got[1]
+        else:
+            got = reason = _record(data, at)
+            if not isinstance(got, str):
+                found, end = [("record", at, got[0], got[1])], got[2]
+        if found is not None:
+            if bad is not None:
+                yield ("gap", bad, at, why)
+                bad = None
+            yield from found
+            at = end
             continue
-        if bad is not None:
-            yield ("gap", bad, at, "damaged member")
-            bad = None
-        out, end = got
-        for x in parse_records(out, base=at):
-            yield ("gap", at, end, x[3]) if x[0] == "gap" else x
-        at = end
+        if bad is None:
+            bad, why = at, reason
+        if magic <= at:
+            magic = data.find(MAGIC, at + 1)
+            magic = n if magic < 0 else magic
+        if version <= at:
+            m = _VERSION_LINE.search(data, at + 1)
+            version = m.start() if m else n
+        at = min(magic, version)
     if bad is not None:
-        yield ("gap", bad, n, "damaged member")
+        yield ("gap", bad, n, why)
 
 
 RECORD_SCHEMA = "path string, status string, offset long, gap_end long, reason string, record_type string, page_id string, uri string, refers_to string, payload binary, payload_bytes long, payload_digest string, digest_ok boolean"

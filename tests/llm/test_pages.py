@@ -65,6 +65,27 @@ def test_salvage_never_fails_and_covers_every_byte(noise, at):
     assert all(a < b <= len(data) for a, b in spans)
 
 
+def test_salvage_recovers_behind_a_damaged_start():
+    for gz in (True, False):
+        recs = _archive(8, gz)
+        whole, first = b"".join(recs), len(recs[0])
+        for bad in (b"\xff" * 150 + whole[150:], b"\xff" * 500 + whole):
+            got = list(warc.salvage(bad))
+            lost = len(bad) == len(whole)
+            assert [x[2]["warc-page-id"] for x in got if x[0] == "record"] == [str(k) for k in range(lost, 8)]
+            assert [(x[1], x[2]) for x in got if x[0] == "gap"] == [(0, first if lost else 500)]
+    gz, plain = _archive(6, True), _archive(6, False)
+    mixed = b"".join(r[k % 2] for k, r in enumerate(zip(gz, plain)))
+    assert [x[0] for x in warc.salvage(mixed)] == ["record"] * 6
+    got = list(warc.salvage(b"\xff" * 100 + mixed[100:]))
+    assert [x[2]["warc-page-id"] for x in got if x[0] == "record"] == list("12345") and len(got) == 6
+    body = warc.gzip_member(b"no record " * 30)
+    rec = bytearray(warc.build_record("response", "9", "http://h/", body, len(body), "", None))
+    rec[-5] ^= 1
+    got = list(warc.salvage(bytes(rec) + plain[0]))
+    assert [x[:3] for x in got if x[0] == "gap"] == [("gap", 0, len(rec))] and len(got) == 2
+
+
 def test_gzip_members_end_with_zero():
     for n in (0, 1, 1000):
         m = warc.gzip_member(b"x" * n)
