@@ -5,9 +5,12 @@ boundaries. Every line has its text, its tag count and its path of sections.
 Lines inside page furniture (menus, footers, adverts, forms, ...) have ratio 0.
 The ratios are smoothed with a Gaussian and clustered by a threshold (a share
 of their spread); the lines above it vote, with their text, for the section
-they stand in, and the winning section's lines are the content. So a short
-heading or a one-word paragraph within the article is kept, though its own
-ratio is low, and nothing outside is.
+they stand in. The article or main elements that hold such lines are the
+content; without any, the section with most of the votes is, and with it every
+other section that has lines above the threshold of its own. So a short heading
+or a one-word paragraph within the article is kept, though its own ratio is
+low. A class word does not silence an element that holds the article or most of
+the page's text.
 """
 
 from __future__ import annotations
@@ -52,9 +55,13 @@ THRESHOLD = 0.5
 class _Lines(HTMLParser):
     """Collects (text, tags, section path, silent) lines."""
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, whether it silences, section number
+        self.spared = spared  # numbers of the elements that their class words do not silence
+        self.worded: list[tuple[int, int]] = []  # of each element with class words, the text in it and its article or main elements
+        self.stack: list[tuple[str, bool, int, tuple | None]] = []  # tag, whether it silences, section number, counts at the start if it has class words
+        self.hard = 0  # elements open that silence for another reason than a class word
+        self.seen = self.mains = 0  # text and article or main elements so far, silenced by class words or not
         self.silent = 0
         self.mute = 0  # silent elements within a line: their text is dropped and does not end the line
         self.in_main = 0
@@ -82,24 +89,25 @@ class _Lines(HTMLParser):
             self.tags = 0
         self.parts = []
 
-    def _quiet(self, tag: str, attrs) -> bool:
+    def _quiet(self, tag: str, attrs) -> str:
+        """What silences the element: "tag", "words" or nothing."""
         if tag in SILENT or (tag == "header" and not self.in_main):
-            return True
+            return "tag"
         if not attrs or tag in ("body", "html", *MAIN):
-            return False
+            return ""
+        worded = False
         for name, value in attrs:
             if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
-                return True
+                return "tag"
             if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return "tag"
             if value and name in ("class", "id", "role"):
                 words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
                 found = words & FURNITURE
                 if self.in_main:
                     found -= HEADER_WORDS
-                if found:
-                    return True
-        return False
+                worded = worded or bool(found)
+        return "words" if worded else ""
 
     def handle_starttag(self, tag: str, attrs) -> None:
         self.tags += 1
@@ -118,15 +126,22 @@ class _Lines(HTMLParser):
         block = tag in BLOCKS
         if block:
             self.cut()
-        quiet = self._quiet(tag, attrs)
-        self.stack.append((tag, quiet, self.section))
+        why, start = self._quiet(tag, attrs), None
+        role = next((v for k, v in attrs if k == "role"), None)
+        main = tag in MAIN or role in ("main", "article")
+        if why == "words":
+            start = (len(self.worded), self.seen, self.mains)
+            self.worded.append((0, 0))
+        self.mains += main and not self.hard
+        self.hard += why == "tag"
+        quiet = why == "tag" or (start is not None and start[0] not in self.spared)
+        self.stack.append((tag, quiet, self.section, start))
         self.silent += quiet
         self.mute += quiet and not block
         self.in_main += tag in MAIN
         self.open_p += tag == "p"
-        role = next((v for k, v in attrs if k == "role"), None)
-        if tag in MAIN or tag in ("section", "div", "td", "body") or role in ("main", "article"):
-            self.sections.append((len(self.sections), self.section, "main" if tag in MAIN or role in ("main", "article") else tag))
+        if main or tag in ("section", "div", "td", "body"):
+            self.sections.append((len(self.sections), self.section, "main" if main else tag))
             self.section = len(self.sections) - 1
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -136,9 +151,12 @@ class _Lines(HTMLParser):
             self.clear_cdata_mode()
 
     def _pop(self) -> None:
-        tag, quiet, section = self.stack.pop()
+        tag, quiet, section, start = self.stack.pop()
         if tag in BLOCKS:
             self.cut()
+        if start is not None:
+            self.worded[start[0]] = (self.seen - start[1], self.mains - start[2])
+        self.hard -= quiet and start is None
         self.silent -= quiet
         self.mute -= quiet and tag not in BLOCKS
         self.in_main -= tag in MAIN
@@ -166,17 +184,30 @@ class _Lines(HTMLParser):
         self._close(tag, within=("td", "th", "article", "main", "body") if tag not in ("article", "main", "body", "html", "table", "tr", "tbody", "td", "th", "footer", "nav", "header", "aside", "section", "div", "form") else ())
 
     def handle_data(self, data: str) -> None:
+        if not self.hard:
+            self.seen += sum(map(len, data.split()))
         if not self.mute:
             self.parts.append(data)
 
 
 def page_lines(html: str) -> tuple[list[tuple[str, int, int, bool]], list[tuple[int, int, str]]]:
     """(text, tags before or in it, section, silent) per line, and (number, parent, kind) per section."""
-    p = _Lines()
+    p = _parsed(html)
+    spared = frozenset(k for k, (text, mains) in enumerate(p.worded) if mains or 2 * text > p.seen)
+    if spared:
+        p = _parsed(html, spared)
+    return p.lines, p.sections
+
+
+def _parsed(html: str, spared: frozenset[int] = frozenset()) -> _Lines:
+    p = _Lines(spared)
     p.feed(html)
     p.close()
     p.cut()
-    return p.lines, p.sections
+    for *_, start in p.stack:  # elements that the page leaves open
+        if start is not None:
+            p.worded[start[0]] = (p.seen - start[1], p.mains - start[2])
+    return p
 
 
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -210,20 +241,36 @@ def extract_text(html: str | None, sigma: float = SIGMA, threshold: float = THRE
             while s >= 0:
                 votes[s] += len(text)
                 s = sections[s][1]
+    passed: set[int] = set()  # sections of which only the lines above the threshold are content
     mains = [s for s, _, kind in sections if kind == "main" and votes[s]]
     if mains:  # outermost article or main elements that hold content
         chosen = {s for s in mains if not any(a in mains for a in _above(s, sections))}
-    else:  # the deepest section with most of the votes
-        total, best = votes[0], 0
-        while True:
-            kids = [s for s, up_, _ in sections if up_ == best and votes[s] > 0.6 * total]
-            if not kids:
-                break
-            best = max(kids, key=lambda s: votes[s])
-        chosen = {best}
+    else:
+        # The deepest section with most of the votes; of what lies outside it, the sections with a line that is above
+        # the threshold by its own ratio, not only by that of the lines beside it.
+        own = {line[2] for line, x, yes in zip(lines, ratio, up) if yes and x >= threshold * spread}
+        kids: dict[int, list[int]] = defaultdict(list)
+        for s, up_, _ in sections:
+            kids[up_].append(s)
+        held = set()  # sections that have such a line in them or below
+        for s in own:
+            while s >= 0 and s not in held:
+                held.add(s)
+                s = sections[s][1]
+        chosen, todo = set(), [0]
+        while todo:
+            s = todo.pop()
+            if any(votes[k] > 0.6 * votes[s] for k in kids[s]):
+                passed.add(s)
+                todo += [k for k in kids[s] if k in held or votes[k] > 0.6 * votes[s]]
+            else:
+                chosen.add(s)
+        passed &= own
     keep = []
-    for text, _, section, quiet in lines:
-        if not quiet and (section in chosen or any(a in chosen for a in _above(section, sections))):
+    for (text, _, section, quiet), yes in zip(lines, up):
+        if quiet:
+            continue
+        if section in chosen or (yes and section in passed) or any(a in chosen for a in _above(section, sections)):
             keep.append(text)
     return "\n".join(keep)
 

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -137,6 +138,22 @@ def test_html_extraction():
     assert html_extract.extract_text(deep) == "x y z"
 
 
+def test_html_keeps_every_cluster_and_ignores_wrappers_class_words():
+    para = "<p>Paragraph {} has quite a few words in it, enough to look like prose.</p>".format
+    many = lambda a, b: "".join(map(para, range(a, b)))
+    found = lambda html: re.findall(r"Paragraph (\d+)", html_extract.extract_text(html))
+    every = [str(k) for k in range(10)]
+    menu = "<div><a>a</a><a>b</a><a>c</a></div>"
+    for html in (f"<div>{many(0, 7)}</div><div>{many(7, 10)}</div>", f"{para(0)}<div><div>{many(1, 8)}</div><section>{many(8, 9)}</section></div>{para(9)}", f"<table><tr><td>{many(0, 8)}</td><td>{many(8, 10)}</td></tr></table>"):
+        assert found(f"<body>{menu}{html}</body>") == every
+        assert not html_extract.extract_text(f"<body>{menu}{html}</body>").startswith("abc")
+    for word in ("has-sidebar", "no-sidebar", "widget"):
+        assert found(f"<body class=x><div class='{word}'><article>{many(0, 10)}</article></div></body>") == every
+        assert found(f"<body><div class='{word}'><div id={word}>{many(0, 10)}<div class=ad>{para(11)}</div></div></div><p>x</p>") == every
+        assert found(f"<body><div class='{word}'>{many(0, 2)}</div><div>{many(2, 10)}</div></body>") == every[2:]
+    assert found(f"<div class=widget><article>{many(0, 10)}") == every
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/abp=\"'& ;#ndivartcle!-\n", max_size=120))
 def test_html_never_fails(text):
