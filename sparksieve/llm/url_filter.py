@@ -79,25 +79,61 @@ def without_fragment(url: Column) -> Column:
     return F.substring_index(url, "#", 1)
 
 
+#: An attribute's value in double quotes, in single quotes or bare, after its name.
+_VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of the attribute in the text of a tag, trimmed; empty without it."""
+    pattern = r"(?is)[\s\"'/]" + name + _VALUE
+    return F.btrim(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)]), F.lit(" \t\r\n\f"))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path, which starts with /, without its . and .. segments (RFC 3986, 5.2.4)."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    return F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The absolute url that ``target`` names on the page ``base``; null for other schemes than those with // and without a base that has one.
+
+    All relative forms are resolved: //host, /path, path in the page's folder,
+    . and .. segments, ?query; a fragment alone names the page itself.
+    """
+    scheme = F.regexp_extract(base, r"\A([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
+    site = F.regexp_extract(base, r"\A([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(base, r"\A[^?#]*(\?[^#]*)?", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)\A(.*/)", 1))
+    own, rest = F.regexp_extract(target, r"\A[^?#]*", 0), F.regexp_extract(target, r"(?s)\A[^?#]*(.*)", 1)
+    full = F.concat(site, _without_dots(F.when(F.startswith(target, F.lit("/")), own).otherwise(F.concat(folder, own))), rest)
+    same = F.concat(site, path, F.when(F.startswith(target, F.lit("?")), rest).otherwise(F.concat(query, rest)))
+    lead = F.regexp_extract(target, r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://)?", 0)
+    relative = F.when(F.startswith(target, F.lit("//")), F.concat(scheme, target)).when(own == "", same).otherwise(full)
+    return F.when(F.endswith(lead, F.lit("//")), target).when((lead == "") & (scheme != ""), relative)
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b) alias edges stated by the pages: canonical links and refresh redirects.
+    """(a, b) alias edges stated by the pages: all canonical links and refresh redirects.
 
-    The pattern runs only where the tag's word occurs at all. Relative targets
-    are resolved for the forms //host/..., /path and absolute urls; others are
-    skipped, as they name the page's own folder.
+    The patterns run only where the tag's word occurs at all. Targets are
+    resolved against the page's url.
     """
     html = F.col(html_col)
-    rel = F.regexp_extract(html, r"(?is)<link\b[^<>]{0,2000}?\brel\s*=\s*[\"']?canonical\b[^<>]{0,2000}>", 0)
-    canon = F.regexp_extract(rel, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^<>]{0,2000}?\bhttp-equiv\s*=\s*[\"']?refresh\b[^<>]{0,2000}>", 0)
-    refresh = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    tags = lambda name, keep: F.filter(F.regexp_extract_all(html, F.lit(rf"(?is)<{name}(?=[\s/\"'])[^<>]*>"), F.lit(0)), keep)
+    rel = tags("link", lambda x: _attribute(x, "rel").rlike(r"(?i)(?:\A|\s)canonical(?:\s|\z)"))
+    canon = F.transform(rel, lambda x: _attribute(x, "href"))
+    meta = tags("meta", lambda x: F.lower(_attribute(x, "http-equiv")) == "refresh")
+    refresh = F.transform(meta, lambda x: F.btrim(F.regexp_extract(_attribute(x, "content"), r"(?is)\burl\s*=\s*[\"']?([^\"']+)", 1), F.lit(" \t\r\n\f")))
     low = F.lower(html)
     has = F.contains(low, F.lit("canonical")) | F.contains(low, F.lit("refresh"))
     src = F.col(url_col)
-    base = pages.where(src.isNotNull() & html.isNotNull() & has).select(src.alias("u"), F.explode(F.array(canon, refresh)).alias("t")).where("t <> ''")
-    t = F.replace(F.col("t"), F.lit("&amp;"), F.lit("&"))
-    scheme, site = F.regexp_extract("u", r"\A([A-Za-z][A-Za-z0-9+.-]*:)//", 1), F.regexp_extract("u", r"\A([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    full = F.when(F.contains(t, F.lit("://")), t).when(F.startswith(t, F.lit("//")), F.concat(scheme, t)).when(F.startswith(t, F.lit("/")), F.concat(site, t))
+    base = pages.where(src.isNotNull() & html.isNotNull() & has).select(src.alias("u"), F.explode(F.array_distinct(F.concat(canon, refresh))).alias("t")).where("t <> ''")
+    full = resolve(F.col("u"), F.replace(F.col("t"), F.lit("&amp;"), F.lit("&")))
     return base.select(without_fragment(F.col("u")).alias("a"), without_fragment(full).alias("b")).where("b is not null and a <> b")
 
 

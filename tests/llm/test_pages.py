@@ -110,6 +110,21 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages(spark, []).where("false")).count() == 0
 
 
+def test_page_links_resolve_every_form(spark):
+    base = "http://h.net/a/b/page.html?q=1#f"
+    targets = ["next.html", "../x", "./y/../z/.", "?id=2", "/go?to=http://x", "//o.net/p", "HTTP://o.net/c?d", "../../../up", "..", "/r/./s/../t", "#frag", "mailto:x", "a b"]
+    html = "".join(f'<link rel="alternate" href="no{k}"><link href="{t}" title="é" rel=\'nofollow CANONICAL\'>' for k, t in enumerate(targets))
+    html += "<meta name=refresh content='0;url=no'><META content=\"0; URL='m?x=1&amp;y=2'\" http-equiv=refresh><meta http-equiv=refresh content='1;url=n'>" + f"<link rel=canonical data-x='{'x' * 5000}' href=far>"
+    got = [(r["a"], r["b"]) for r in url_filter.page_links(pages(spark, [(1, base, html), (2, "no scheme", html), (3, "http://h.net", "<link rel=canonical href=k>")])).collect()]
+    at = "http://h.net/a/b/"
+    want = [at + "next.html", "http://h.net/a/x", at + "z/", at + "page.html?id=2", "http://h.net/go?to=http://x", "http://o.net/p", "HTTP://o.net/c?d", "http://h.net/up", "http://h.net/a/", "http://h.net/r/t", at + "a b", at + "m?x=1&y=2", at + "n", at + "far"]
+    assert sorted(b for a, b in got if a == "http://h.net/a/b/page.html?q=1") == sorted(want)
+    assert [b for a, b in got if a == "http://h.net"] == ["http://h.net/k"]
+    assert {b for a, b in got if a == "no scheme"} == {"HTTP://o.net/c?d"}
+    rows = [(1, "http://n.net/f/old.html", "<link rel=canonical href=new.html>"), (2, "http://n.net/f/new.html", "<meta http-equiv=refresh content='0;url=http://ex.com/de/'>")]
+    assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages(spark, rows)).collect()} == {1: "block", 2: "block"}
+
+
 def test_rule_table_agrees_with_inline_rules(spark):
     rules = spark.createDataFrame([(r.name, r.host, r.path, r.verdict) for r in url_filter.RULES], "rule string, host string, path string, verdict string")
     urls = spark.createDataFrame([(f"http://{h}{p}",) for h in ("org", "a.example.org", "b.com", "x.net", "") for p in ("", "/", "/es/1", "/en/19", "/fr/", "/de/x")], "url string").select("url", url_filter.url_host(F.col("url")).alias("host"), url_filter.url_path(F.col("url")).alias("path"))
