@@ -27,9 +27,10 @@ from .common import materialize, small_batches
 
 #: Rows per language that the trigram models are trained on, about; the rest of the table only scores.
 SAMPLE = 400
-#: Most languages modelled, those with the most declared rows.
+#: Languages in one block of the model table. Every declared language is modelled; blocks are trained, broadcast and
+#: scored one after the other, 4 MB each.
 LANGUAGES = 64
-#: Hash buckets of the trigram models: with LANGUAGES it bounds the broadcast at 4 MB.
+#: Hash buckets of the trigram models.
 BUCKETS = 1 << 14
 #: Weight of a trigram's log likelihood, and the most that the whole text may weigh, in nats.
 TEMPER, TEXT_NATS = 0.1, 60.0
@@ -61,53 +62,71 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 3
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
+
+    def emit():
+        for lang, c in total.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "n"])
+        total.clear()
+
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
             total[lang] = total.get(lang, 0) + _buckets(text.as_py())
-    for lang, c in total.items():
-        at = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "n"])
+            if len(total) > 4 * LANGUAGES:
+                yield from emit()
+    yield from emit()
 
 
-def train(docs: DataFrame, text_col: str, declared_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities per bucket, the last row that of "und".
+def train(docs: DataFrame, text_col: str, declared_col: str, sample: int = SAMPLE) -> tuple[list[str], list[np.ndarray]]:
+    """All declared languages and blocks of their log probabilities per bucket, the last row of the last that of "und".
 
     A row is in the sample if a hash of its text is below a threshold that
     leaves about ``sample`` rows of its language. Counting is a map with a
-    grouped sum; at most LANGUAGES * BUCKETS sums reach the driver.
+    grouped sum; the sums of LANGUAGES languages reach the driver at a time.
     """
     small_batches(docs.sparkSession)
-    known = docs.where(F.col(declared_col).isNotNull() & (F.length(text_col) > 0) & (F.col(declared_col) != UND))
-    langs = known.groupBy(F.col(declared_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r["lang"] for r in langs)
-    model = np.full((len(names) + 1, BUCKETS), -np.log(BUCKETS), np.float32)
+    known = docs.where(F.col(declared_col).isNotNull() & (F.length(text_col) > 0) & (F.col(declared_col) != UND)).select(F.col(declared_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    langs = materialize(known.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("c")), "li-langs")
+    names = sorted(r["l"] for r in langs.select("l").collect())
+    und = np.full((1, BUCKETS), -np.log(BUCKETS), np.float32)
     if not names:
-        return names, model
-    share = F.create_map(*[x for r in langs for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"])))])
-    unit = (F.xxhash64(F.col(text_col)).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
-    part = known.where(unit < F.element_at(share, F.col(declared_col))).select(F.col(declared_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sums = part.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    for k, lang in enumerate(names):
-        c = np.zeros(BUCKETS)
-        s = sums[sums["lang"] == lang]
-        c[s["bucket"].to_numpy(np.int64)] = s["n"].to_numpy(float)
-        model[k] = np.log((c + 0.2) / (c.sum() + 0.2 * BUCKETS))
-    return names, model
+        return names, [und]
+    unit = (F.xxhash64("text").bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
+    part = known.join(langs, known["lang"] == langs["l"]).where(unit < F.lit(float(sample)) / F.col("c")).select("lang", "text")
+    sums = part.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = materialize(sums, "li-sums") if len(names) > LANGUAGES else sums
+    blocks = []
+    for at in range(0, len(names), LANGUAGES):
+        block = names[at : at + LANGUAGES]
+        of = (sums.where(F.col("lang").isin(block)) if len(names) > LANGUAGES else sums).toPandas()
+        model = np.empty((len(block), BUCKETS), np.float32)
+        by = dict(tuple(of.groupby("lang")))
+        for k, lang in enumerate(block):
+            c = np.zeros(BUCKETS)
+            if lang in by:
+                c[by[lang]["bucket"].to_numpy(np.int64)] = by[lang]["n"].to_numpy(float)
+            model[k] = np.log((c + 0.2) / (c.sum() + 0.2 * BUCKETS))
+        blocks.append(model)
+    blocks[-1] = np.concatenate([blocks[-1], und])
+    return names, blocks
 
 
 def _likelihoods(shared):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(texts: pd.Series) -> pd.Series:
         """Tempered log likelihood of the text by language, "und" last; null without evidence."""
-        model = shared.value.astype(np.float64)
-        out = []
+        found = []
         for t in texts:
             c = _buckets(t)
-            n = c.sum()
             at = np.flatnonzero(c)
-            ll = model[:, at] @ c[at] if n else None
-            out.append(None if ll is None else (ll * min(TEMPER, TEXT_NATS / n)).tolist())
-        return pd.Series(out)
+            found.append((at, c[at], c.sum()))
+        out = [[] for _ in found]
+        for block in shared:
+            model = block.value.astype(np.float64)
+            for ll, (at, c, n) in zip(out, found):
+                if n:
+                    ll.append(model[:, at] @ c * min(TEMPER, TEXT_NATS / n))
+        return pd.Series([np.concatenate(ll).tolist() if ll else None for ll in out], dtype=object)
 
     return score
 
@@ -130,8 +149,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     execution splits a host with a third of all rows).
     """
     spark = docs.sparkSession
-    names, model = train(docs, text_col, declared_col, sample)
-    shared = spark.sparkContext.broadcast(model)
+    names, blocks = train(docs, text_col, declared_col, sample)
+    shared = [spark.sparkContext.broadcast(b) for b in blocks]
     labels = [*names, UND]
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\x00"))
     scored = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(declared_col).cast("string"), F.lit("\x00")).alias("declared"), host.alias("host"), _suffix(F.col(host_col).cast("string")).alias("suffix"), _likelihoods(shared)(F.col(text_col).cast("string")).alias("ll"))
@@ -140,22 +159,28 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     # Grouped counts over all rows: (host, suffix, declared, text language).
     seen = materialize(scored.groupBy("host", "suffix", "declared", "text_lang").agg(F.count(F.lit(1)).alias("n")), "li-seen")
-    sums = [F.sum(F.when(F.col("text_lang") == x, F.col("n")).otherwise(0)).cast("double") for x in labels]
-    counts = F.array(*sums)
     k = len(labels)
-    all_ = seen.groupBy().agg(counts.alias("c")).first()["c"] or [0.0] * k
-    base = np.array([x or 0.0 for x in all_]) + 1.0
+
+    def counts(*by: str) -> DataFrame:
+        """``by`` and in ``c`` the rows of each label; the plan does not grow with the labels."""
+        n = seen.groupBy(*by, "text_lang").agg(F.sum("n").cast("double").alias("n"))
+        n = n.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(F.col("text_lang").isNotNull(), F.struct("text_lang", "n")))).alias("m"))
+        return n.select(*by, F.transform(F.array(*map(F.lit, labels)), lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0.0))).alias("c"))
+
+    had = {r["text_lang"]: float(r["n"]) for r in seen.groupBy("text_lang").agg(F.sum("n").alias("n")).collect()}
+    all_ = [had.get(x, 0.0) for x in labels]
+    base = np.array(all_) + 1.0
     base[-1] = 0
     base = (1 - UND_PRIOR) * base / max(base.sum(), 1) if k > 1 else base
     base[-1] = UND_PRIOR if k > 1 else 1.0
     up = F.array(*map(F.lit, base.tolist()))
     mixed = lambda own, above: F.zip_with(own, above, lambda a, b: (a + KAPPA * b) / (F.aggregate(own, F.lit(0.0), lambda s, x: s + x) + KAPPA))
-    by_suffix = seen.groupBy("suffix").agg(counts.alias("c")).select(F.col("suffix").alias("s"), mixed(F.col("c"), up).alias("sp"))
-    by_host = seen.groupBy("host", "suffix").agg(counts.alias("c")).join(by_suffix, F.col("suffix") == F.col("s")).select(F.col("host").alias("h"), mixed(F.col("c"), F.col("sp")).alias("hp"))
+    by_suffix = counts("suffix").select(F.col("suffix").alias("s"), mixed(F.col("c"), up).alias("sp"))
+    by_host = counts("host", "suffix").join(by_suffix, F.col("suffix") == F.col("s")).select(F.col("host").alias("h"), mixed(F.col("c"), F.col("sp")).alias("hp"))
     # P(declared | language): the column of each declared value, smoothed.
-    totals = F.array(*[F.lit(float(x or 0.0)) for x in all_])
+    totals = F.array(*[F.lit(x) for x in all_])
     n_declared = F.lit(float(seen.select("declared").distinct().count()))
-    by_declared = seen.groupBy("declared").agg(counts.alias("c")).select(F.col("declared").alias("d"), F.zip_with("c", totals, lambda a, t: (a + CONFUSED) / (t + CONFUSED * n_declared)).alias("dp"))
+    by_declared = counts("declared").select(F.col("declared").alias("d"), F.zip_with("c", totals, lambda a, t: (a + CONFUSED) / (t + CONFUSED * n_declared)).alias("dp"))
 
     j = scored.join(by_host, scored["host"] == F.col("h")).join(by_declared, scored["declared"] == F.col("d"))
     zero = F.array(*[F.lit(0.0)] * k)

@@ -297,6 +297,18 @@ def test_language_id(spark, empty):
     assert {2000, 2001, 2002, 2003}.isdisjoint(kept) and {None, 0, 4000} <= kept
 
 
+def test_every_declared_language_has_a_model(spark):
+    rng = random.Random(4)
+    abc = {f"l{k:03d}": "".join(chr(0x400 + 6 * k + x) for x in range(6)) for k in range(140)}
+    rows = [(10 * k + i, prose(rng, 25, abc[lang]), lang, "h") for k, lang in enumerate(abc) for i in range(2 if k % 70 == 69 else 3)]
+    docs = frame(spark, rows)
+    names, blocks = langid.train(docs, "text", "lang")
+    assert names == sorted(abc) and [len(b) for b in blocks] == [64, 64, 13]
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    assert all(got[i]["lang"] == got[i]["text_lang"] == lang and got[i]["accepted"] for i, _, lang, _ in rows)
+    assert langid.drop_unidentified(docs).count() == len(rows)
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path):
     import corpus_pipeline
 
