@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches
+from .common import materialize, scratch_path, small_batches, spread_join
 
 #: Equal payloads of at least so many bytes are archived once; the others refer to that record.
 REVISIT_BYTES = 100
@@ -30,6 +30,10 @@ DATE = "2024-01-01T00:00:00Z"
 #: Rows in one archive file.
 FILE_ROWS = 2000
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+#: Bytes of an archive that the decompressor sees at a time.
+STEP = 1 << 16
+#: Spark's binary-file source hands over whole files, up to this size; larger ones are quarantined whole.
+ARCHIVE_BYTES = (1 << 31) - 1
 
 
 def gzip_member(data: bytes, level: int = 6) -> bytes:
@@ -68,90 +72,113 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: st
     smallest id are responses and the others revisits of it; smaller payloads
     are responses. Null payloads are empty. A null id is archived as an empty
     one and orders after all others. Payloads are shuffled once at most, by
-    their digest; of the digests only the repeated ones are joined.
+    their digest; of the digests only the repeated ones are joined, and rows of
+    one that very many share are spread by their ids.
     """
     small_batches(pages.sparkSession)
     html = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("key"), F.col(uri_col).alias("uri"), html.alias("payload"), F.sha2(html, 256).alias("digest"))
-    seen = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    j = rows.join(seen, rows["digest"] == seen["d"], "left")
+    seen = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    j = spread_join(rows, materialize(seen, "warc-seen"), ["digest"], "n", F.col("id"))
     again = F.col("first").isNotNull() & (F.col("key").isNull() | (F.col("key") > F.col("first")))
     j = j.select("id", "uri", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first").cast("string")).alias("refers"))
     lines = j.mapInPandas(_members, "value binary").select(F.col("value").cast("string"))
     lines.write.option("lineSep", "\x00").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
-def _header(raw: bytes) -> dict[str, str] | None:
-    """Fields of a record's head, None if it is malformed."""
-    lines = raw.split(b"\r\n")
-    if not lines or not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
-        return None
-    out = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon or not name.strip():
+def _number(text: str | None) -> int | None:
+    """A length of ASCII digits; None for anything else, and for more digits than any file has bytes."""
+    return int(text) if text is not None and re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
+class _Plain:
+    """Records in uncompressed bytes. Ends of heads are sought once over the same bytes, however many version lines there are."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.blank = -1  # the next empty line
+
+    def _head(self, at: int) -> tuple[dict[str, str], int] | None:
+        """Fields of the head at ``at`` and the offset of its block; None at its first malformed line."""
+        if self.blank < at:
+            k = self.data.find(b"\r\n\r\n", at)
+            self.blank = len(self.data) if k < 0 else k
+        if self.blank == len(self.data):
             return None
-        out[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return out if out.get("content-length", "").isdigit() and "warc-type" in out else None
-
-
-def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
-    """Fields, block and end of the record at ``at``, or why there is none."""
-    if not data.startswith(b"WARC/1.", at):
-        return "no version line"
-    end = data.find(b"\r\n\r\n", at)
-    fields = _header(data[at:end]) if end >= 0 else None
-    if fields is None:
-        return "bad header"
-    start = end + 4
-    stop = start + int(fields["content-length"])
-    if stop > len(data):
-        return "truncated block"
-    if data[stop : stop + 4] != b"\r\n\r\n":
-        return "no record end"
-    block = data[start:stop]
-    digest = fields.get("warc-block-digest", "")
-    if digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:].lower():
-        return "block digest differs"
-    return fields, block, stop + 4
-
-
-def parse_records(data: bytes, at: int = 0, base: int | None = None) -> Iterator[tuple]:
-    """('record', offset, fields, block) and ('gap', start, end, reason) for uncompressed WARC bytes.
+        out, pos = {}, self.data.find(b"\r\n", at) + 2
+        while pos <= self.blank:
+            stop = self.data.find(b"\r\n", pos)
+            name, colon, value = self.data[pos:stop].partition(b":")
+            if not colon or not name.strip():
+                return None
+            out[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+            pos = stop + 2
+        return out, self.blank + 4
+
+    def record(self, at: int) -> tuple[dict[str, str], bytes, int] | str:
+        """Fields, block and end of the record at ``at``, or why there is none."""
+        data = self.data
+        if not _VERSION_LINE.match(data, at):
+            return "no version line"
+        head = self._head(at)
+        size = _number(head[0].get("content-length")) if head else None
+        if size is None or "warc-type" not in head[0]:
+            return "bad header"
+        fields, start = head
+        stop = start + size
+        if stop > len(data):
+            return "truncated block"
+        if data[stop : stop + 4] != b"\r\n\r\n":
+            return "no record end"
+        block = data[start:stop]
+        digest = fields.get("warc-block-digest", "")
+        if digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:].lower():
+            return "block digest differs"
+        return fields, block, stop + 4
+
+
+def parse_records(data: bytes, member: tuple[int, int] | None = None) -> Iterator[tuple]:
+    """('record', start, end, fields, block) and ('gap', start, end, reason) for uncompressed WARC bytes.
 
     After a failed check the next version line is sought and the bytes up to it
     are reported as a gap; a record counts as good only if its length leads to
     the record end and its block digest, if it has one, agrees. Offsets are
-    those of ``data``, or all ``base`` (the member's) if given.
+    those of ``data``, or all those of the ``member`` if given.
     """
-    n = len(data)
-    where = (lambda x: x) if base is None else (lambda x: base)
-    bad_from, bad_why = None, ""
+    n, plain = len(data), _Plain(data)
+    span = (lambda a, b: (a, b)) if member is None else (lambda a, b: member)
+    at, bad, why = 0, None, ""
     while at < n:
-        got = _record(data, at)
+        got = plain.record(at)
         if not isinstance(got, str):
-            if bad_from is not None:
-                yield ("gap", where(bad_from), where(at), bad_why)
-                bad_from = None
-            yield ("record", where(at), got[0], got[1])
+            if bad is not None:
+                yield ("gap", *span(bad, at), why)
+                bad = None
+            yield ("record", *span(at, got[2]), got[0], got[1])
             at = got[2]
             continue
-        if bad_from is None:
-            bad_from, bad_why = at, got
+        if bad is None:
+            bad, why = at, got
         m = _VERSION_LINE.search(data, at + 1)
         at = m.start() if m else n
-    if bad_from is not None:
-        yield ("gap", where(bad_from), where(n), bad_why)
+    if bad is not None:
+        yield ("gap", *span(bad, n), why)
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The member at ``at`` and the offset after it; None if it fails its checks."""
-    d = zlib.decompressobj(31)
+    """The member at ``at`` and the offset after it; None if it fails its checks.
+
+    The decompressor sees STEP bytes at a time, so what it leaves unused, and
+    copies, is never more than that.
+    """
+    d, parts, view = zlib.decompressobj(31), [], memoryview(data)
     try:
-        out = d.decompress(memoryview(data)[at:])
+        while not d.eof and at < len(data):
+            parts.append(d.decompress(view[at : at + STEP]))
+            at += STEP
     except zlib.error:
         return None
-    return (out, len(data) - len(d.unused_data)) if d.eof else None
+    return (b"".join(parts), min(at, len(data)) - len(d.unused_data)) if d.eof else None
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
@@ -162,24 +189,25 @@ def salvage(data: bytes) -> Iterator[tuple]:
     so damage costs only the records that it touches, wherever it lies. Damage
     inside a member's WARC record is a gap over it. A whole member without any
     record that lies in damaged bytes (a compressed body) is part of their gap.
+    Spans are those of the file; gaps and records (the members that hold them)
+    cover it without holes, but for empty members.
     """
     at, bad, why = 0, None, ""
-    n = len(data)
+    n, plain = len(data), _Plain(data)
     magic = version = -1  # the next of each, so that neither is sought twice over the same bytes
     while at < n:
-        got, found = None, None
+        found = None
         if data.startswith(MAGIC, at):
             got, reason = _inflate(data, at), "damaged member"
             if got is not None:
-                if bad is not None and got[0] and not any(x[0] == "record" for x in parse_records(got[0])):
-                    at = got[1]
+                found, end = list(parse_records(got[0], member=(at, got[1]))), got[1]
+                if bad is not None and found and all(x[0] == "gap" for x in found):
+                    at = end
                     continue
-                found = (("gap", at, got[1], x[3]) if x[0] == "gap" else x for x in parse_records(got[0], base=at))
-                end = got[1]
         else:
-            got = reason = _record(data, at)
+            got = reason = plain.record(at)
             if not isinstance(got, str):
-                found, end = [("record", at, got[0], got[1])], got[2]
+                found, end = [("record", at, got[2], got[0], got[1])], got[2]
         if found is not None:
             if bad is not None:
                 yield ("gap", bad, at, why)
@@ -213,10 +241,10 @@ def _read(keep_payload: bool):
                     if x[0] == "gap":
                         rows.append((path, "quarantined", x[1], x[2], x[3], *[None] * 8))
                     else:
-                        _, off, f, block = x
+                        _, off, _, f, block = x
                         head, _, body = block.partition(b"\r\n\r\n")
                         said = f.get("warc-payload-digest", "").removeprefix("sha256:")
-                        m = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+                        m = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", head)
                         if f["warc-type"] == "revisit":
                             size, digest, ok = int(m[1]) if m else None, said, None
                         else:
@@ -238,11 +266,17 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> Dat
 
     Truncated, overwritten or interleaved bytes never fail the job: later
     records are recovered, and gaps give [offset, gap_end) with a reason. An
-    archive file is one unit of work; the writer keeps files small.
+    archive file is one unit of work, read in one pass; its task holds it whole
+    (once in Spark, once in Python) and one record's text. The writer keeps
+    files small. Files above ARCHIVE_BYTES, which Spark cannot hand over, are
+    one quarantined row each.
     """
     small_batches(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(_read(keep_payload), RECORD_SCHEMA)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    got = files.where(F.col("length") <= ARCHIVE_BYTES).select("path", "content").mapInPandas(_read(keep_payload), RECORD_SCHEMA)
+    told = {"path": F.col("path"), "status": F.lit("quarantined"), "offset": F.lit(0).cast("long"), "gap_end": F.col("length"), "reason": F.lit("archive too large")}
+    big = files.where(F.col("length") > ARCHIVE_BYTES).select(*[told.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in got.schema.fields])
+    return got.unionByName(big)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:

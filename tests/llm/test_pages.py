@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,26 +45,71 @@ def test_salvage_recovers_what_follows_damage():
         recs = _archive(8, gz)
         whole = b"".join(recs)
         starts = [sum(map(len, recs[:k])) for k in range(9)]
-        assert [x[2]["warc-page-id"] for x in warc.salvage(whole) if x[0] == "record"] == [str(k) for k in range(8)]
+        assert [x[3]["warc-page-id"] for x in warc.salvage(whole) if x[0] == "record"] == [str(k) for k in range(8)]
         bad = bytearray(whole)
         bad[starts[2] + 40 : starts[2] + 60] = b"\xff" * 20
         got = list(warc.salvage(bytes(bad)))
-        assert [x[2]["warc-page-id"] for x in got if x[0] == "record"] == ["0", "1", "3", "4", "5", "6", "7"]
+        assert [x[3]["warc-page-id"] for x in got if x[0] == "record"] == ["0", "1", "3", "4", "5", "6", "7"]
         assert [(x[1], x[2]) for x in got if x[0] == "gap"] == [(starts[2], starts[3])]
         junk = whole[: starts[1]] + b"garbage" * 9 + whole[starts[1] : starts[5] + 30]
         got = list(warc.salvage(junk))
-        assert [x[2]["warc-page-id"] for x in got if x[0] == "record"] == ["0", "1", "2", "3", "4"]
+        assert [x[3]["warc-page-id"] for x in got if x[0] == "record"] == ["0", "1", "2", "3", "4"]
         assert len([x for x in got if x[0] == "gap"]) == 2
     assert list(warc.salvage(b"")) == []
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.binary(max_size=200), st.integers(0, 2000))
-def test_salvage_never_fails_and_covers_every_byte(noise, at):
-    data = b"".join(_archive(3, True))
-    data = data[:at] + noise + data[at:]
-    spans = sorted((x[1], x[2]) for x in warc.salvage(data) if x[0] == "gap")
-    assert all(a < b <= len(data) for a, b in spans)
+def _tiles(data):
+    """Records' ids, after a check that records and gaps cover ``data`` in order and without holes."""
+    got, at = list(warc.salvage(data)), 0
+    for x in got:
+        assert x[1] == at and x[1] < x[2], (x[:3], at)
+        at = x[2]
+    assert at == len(data)
+    return [x[3].get("warc-page-id") for x in got if x[0] == "record"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(min_size=1, max_size=300), st.integers(0, 5000), st.booleans(), st.sampled_from(["gz", "plain", "mixed"]))
+def test_salvage_recovers_every_record_that_damage_does_not_touch(noise, at, insert, kind):
+    gz, plain = _archive(6, True), _archive(6, False)
+    recs = {"gz": gz, "plain": plain, "mixed": [r[k % 2] for k, r in enumerate(zip(gz, plain))]}[kind]
+    whole = b"".join(recs)
+    assert _tiles(whole) == list("012345")
+    at %= len(whole)
+    end = at if insert else min(len(whole), at + len(noise))
+    starts = [sum(map(len, recs[:k])) for k in range(7)]
+    hit = {k for k in range(6) if starts[k] < end and at < starts[k + 1] and whole[at:end] != noise[: end - at]} if not insert else {k for k in range(6) if starts[k] < at < starts[k + 1]}
+    got = _tiles(whole[:at] + (noise if insert else noise[: end - at]) + whole[end:])
+    assert set(got) >= {str(k) for k in range(6) if k not in hit}
+
+
+def test_salvage_survives_malformed_heads_and_is_linear():
+    good = _archive(1, False)[0]
+    for length in ("\u00b2", "9" * 5000, "-1", "1 2", "", "0x1", "99999999999"):
+        bad = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {length}\r\n\r\nxx\r\n\r\n".encode()
+        assert _tiles(bad + good) == ["0"] and _tiles(warc.gzip_member(bad) + good) == ["0"]
+    for one in (b"WARC/1.1\r\n", b"WARC/1.1\r\na: b\r\n", warc.MAGIC, b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 9999999\r\n\r\n"):
+        t = time.process_time()
+        assert _tiles(one * 50_000 + good) == ["0"]
+        assert time.process_time() - t < 10
+    took = []
+    for n in (2000, 8000):
+        data = b"".join(_archive(n, True))
+        t = time.process_time()
+        assert sum(x[0] == "record" for x in warc.salvage(data)) == n
+        took.append(time.process_time() - t)
+    assert took[1] < 12 * took[0]
+
+
+def test_damaged_files_are_read_by_spark(spark, tmp_path):
+    recs = _archive(20, True)
+    whole = b"".join(recs)
+    (tmp_path / "a.warc.gz").write_bytes(b"\x00" * 10 + whole[10:])
+    (tmp_path / "b.warc").write_bytes(b"")
+    (tmp_path / "c.warc").write_bytes("WARC/1.1\r\nWARC-Type: response\r\nContent-Length: \u00b2\r\n\r\n".encode() + recs[3])
+    got = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    assert sorted(r["page_id"] for r in got if r["status"] == "ok") == sorted([*map(str, range(1, 20)), "3"])
+    assert sorted((r["offset"], r["reason"]) for r in got if r["status"] != "ok") == [(0, "bad header"), (0, "no version line")]
 
 
 def test_salvage_recovers_behind_a_damaged_start():
@@ -73,13 +119,13 @@ def test_salvage_recovers_behind_a_damaged_start():
         for bad in (b"\xff" * 150 + whole[150:], b"\xff" * 500 + whole):
             got = list(warc.salvage(bad))
             lost = len(bad) == len(whole)
-            assert [x[2]["warc-page-id"] for x in got if x[0] == "record"] == [str(k) for k in range(lost, 8)]
+            assert [x[3]["warc-page-id"] for x in got if x[0] == "record"] == [str(k) for k in range(lost, 8)]
             assert [(x[1], x[2]) for x in got if x[0] == "gap"] == [(0, first if lost else 500)]
     gz, plain = _archive(6, True), _archive(6, False)
     mixed = b"".join(r[k % 2] for k, r in enumerate(zip(gz, plain)))
     assert [x[0] for x in warc.salvage(mixed)] == ["record"] * 6
     got = list(warc.salvage(b"\xff" * 100 + mixed[100:]))
-    assert [x[2]["warc-page-id"] for x in got if x[0] == "record"] == list("12345") and len(got) == 6
+    assert [x[3]["warc-page-id"] for x in got if x[0] == "record"] == list("12345") and len(got) == 6
     body = warc.gzip_member(b"no record " * 30)
     rec = bytearray(warc.build_record("response", "9", "http://h/", body, len(body), "", None))
     rec[-5] ^= 1
