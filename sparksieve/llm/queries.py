@@ -78,4 +78,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op4_warc": warc.ORACLE, "op6_url_filter": url_filter.ORACLE, "op10_chat_format": CHAT_ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op4_warc": warc.ORACLE, "op6_url_filter": url_filter.ORACLE, "op8_html_extraction": html_extract.ORACLE, "op10_chat_format": CHAT_ORACLE}
