@@ -1,12 +1,18 @@
 """Document fingerprints from closed syncmers, DataFrame functions only.
 
-A k-mer is a closed syncmer if the smallest of its inner s-mers (by hash) is
-its first or its last. Whether a k-mer is chosen depends on itself alone, so
-equal passages give equal anchors in any context. Texts are read over two
-alphabets: k-mers of words with one-word inner parts, and, for texts of fewer
-than SHORT code points, where words are too few, k-mers of characters with
-inner parts of three. The fingerprint holds the smallest hashes of the
-distinct anchors of each alphabet.
+A text is read as pieces: words are cut into PIECE code points from their
+start, and code points of scripts that are written without blanks are pieces
+of their own; so a text of any script and length has pieces in proportion to
+its length. A k-mer of pieces is a closed syncmer if the smallest of its inner
+substrings (the single pieces, by hash) is its first or its last. Whether a
+k-mer is chosen depends on itself alone, so equal passages give equal anchors
+in any context, at positions that differ by one shift.
+
+The fingerprint holds the distinct anchors, each with its first position, that
+are among the KEEP smallest by hash or below a SHARE-th of all hashes. So short
+texts are held whole, and that of long ones grows with the text. Two
+fingerprints are both complete up to the smaller of their bounds; up to there
+their anchors are matched by hash and by position.
 """
 
 from __future__ import annotations
@@ -14,16 +20,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.parallel import spread
 from .common import WS_CLASS, materialize, parallelism
 
-#: Words in a k-mer; the inner parts are single words.
-K_WORDS = 4
-#: Characters in a k-mer and in its inner parts, for short texts.
-K_CHARS, S_CHARS = 6, 2
-#: Texts below so many code points have character anchors too.
-SHORT = 400
-#: Hashes kept per alphabet.
-KEEP = 64
+#: Code points of a word in a piece.
+PIECE = 3
+#: Pieces in a k-mer; its inner substrings are single pieces.
+K = 4
+#: The smallest hashes that every fingerprint keeps, and the share of all hashes that it keeps besides.
+KEEP, SHARE = 64, 16
+# Blocks of scripts written without blanks between words (Thai and Lao, Myanmar, Khmer, East Asian).
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF\uFF00-\uFFEF\x{20000}-\x{3FFFF}"
+_PIECES = f"[{UNSPACED}]|[^{WS_CLASS[1:-1]}{UNSPACED}]{{1,{PIECE}}}"
+_LOWEST = -(1 << 31)
+#: Hashes below this are kept whatever their rank.
+_BELOW = _LOWEST + (1 << 32) // SHARE
 
 
 def _let(value: Column, f) -> Column:
@@ -31,64 +42,79 @@ def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
-def closed_syncmers(parts: Column, inner: int) -> Column:
-    """array of struct(h, pos): hash and 0-based start of every closed syncmer.
+def closed_syncmers(parts: Column, inner: int = K) -> Column:
+    """array of bigint, hash times 2**32 plus 0-based start, of every closed syncmer.
 
-    ``parts`` has the hashes of the s-mers in order; ``inner`` of them make a
-    k-mer. Fewer make one k-mer, none gives an empty array.
+    ``parts`` has the hashes of the s-mers in order; ``inner`` of them (3 at
+    least) make a k-mer. Fewer make one k-mer of them all, none gives an empty array.
     """
+    at = lambda i: [F.get(parts, i + k if k else i) for k in range(inner)]
 
-    def at(i):
-        return _let(F.slice(parts, i, F.lit(inner)), lambda w: F.when((F.array_min(w) == F.get(w, 0)) | (F.array_min(w) == F.element_at(w, -1)), F.struct(F.hash(w).alias("h"), (i - 1).alias("pos"))))
+    def closed(i):
+        first, *mid, last = at(i)
+        return (F.least(*mid) if len(mid) > 1 else mid[0]) >= F.least(first, last)
 
-    starts = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - (inner - 1)))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, at), lambda x: x.isNotNull())
+    number = lambda h, i: F.shiftleft(h.cast("bigint"), 32).bitwiseOR(i.cast("bigint"))
+    many = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - inner), closed), lambda i: number(F.hash(*at(i)), i))
+    few = F.array(number(F.hash(parts, F.size(parts)), F.lit(0)))
+    return F.when(F.size(parts) >= inner, many).when(F.size(parts) > 0, few).otherwise(F.array().cast("array<bigint>"))
 
 
-def word_anchors(text: Column, k: int = K_WORDS) -> Column:
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), f"{WS_CLASS}+"), lambda w: w != "")
-    return _let(F.transform(words, lambda w: F.hash(w)), lambda parts: closed_syncmers(parts, k))
+def hash_of(anchor: Column) -> Column:
+    return F.shiftright(anchor, 32)
 
 
-def char_anchors(text: Column, k: int = K_CHARS, s: int = S_CHARS) -> Column:
-    def of(chars):
-        starts = F.when(F.size(chars) > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(chars) - (s - 1)))).otherwise(F.array().cast("array<int>"))
-        return _let(F.transform(starts, lambda i: F.hash(F.slice(chars, i, F.lit(s)))), lambda parts: closed_syncmers(parts, k - s + 1))
+def position_of(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit((1 << 32) - 1))
 
-    t = F.coalesce(text, F.lit(""))
-    return _let(F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "")), of)
 
-
-def _bottom(anchors: Column) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors, lambda x: x["h"]))), 1, KEEP)
+def anchors(text: Column) -> Column:
+    """All closed syncmers of a text, in order."""
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECES), F.lit(0))
+    return _let(F.transform(pieces, lambda w: F.hash(w)), lambda p: closed_syncmers(p))
 
 
 def sketch(text: Column) -> Column:
-    """struct(w, c): the smallest anchor hashes over words, and over characters (null for texts of SHORT code points or more)."""
-    t = F.coalesce(text, F.lit(""))
-    return F.struct(_bottom(word_anchors(t)).alias("w"), F.when(F.length(t) < SHORT, _bottom(char_anchors(t))).alias("c"))
+    """The anchors that the fingerprint keeps, ascending, each hash with its first position; not null."""
+    fresh = lambda a: F.filter(a, lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.get(a, i - 1))))
+    return _let(_let(F.array_sort(anchors(text)), fresh), lambda a: F.filter(a, lambda x, i: (i < KEEP) | (hash_of(x) < _BELOW)))
 
 
 def sketch_string(s: Column) -> Column:
-    """The sketch as text: hashes of eight hex digits, the two alphabets parted by a colon."""
-    hexes = lambda a: F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
-    return F.concat(hexes(s["w"]), F.when(s["c"].isNotNull(), F.concat(F.lit(":"), hexes(s["c"]))).otherwise(F.lit("")))
+    """The sketch as text: for each anchor the hash in eight hex digits, a colon and the position in hex, parted by commas."""
+    hexes = lambda x: F.concat(F.lpad(F.hex(hash_of(x).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), F.lit(":"), F.hex(position_of(x)))
+    return F.lower(F.array_join(F.transform(s, hexes), ","))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two texts' anchors, from their sketches: by characters if both are short, else by words."""
+def _bound(s: Column) -> Column:
+    """The hash up to which a sketch is complete."""
+    return F.when(F.size(s) < KEEP, F.lit((1 << 31) - 1).cast("bigint")).otherwise(F.greatest(hash_of(F.element_at(s, -1)), F.lit(_BELOW - 1).cast("bigint")))
 
-    def jaccard(x, y):
-        both = F.slice(F.array_sort(F.array_union(x, y)), 1, KEEP)
-        return _let(both, lambda u: F.when(F.size(u) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(x, y), u)) / F.size(u)))
 
-    return F.when(a["c"].isNotNull() & b["c"].isNotNull(), jaccard(a["c"], b["c"])).otherwise(jaccard(a["w"], b["w"])).cast("double")
+def match_positions(a: Column, b: Column) -> Column:
+    """array of struct(pos, other): the anchors that two sketches share, by hash, in the order of the first."""
+    shared = F.array_intersect(F.transform(a, hash_of), F.transform(b, hash_of))
+    find = lambda s: F.filter(s, lambda x: F.array_contains(shared, hash_of(x)))
+    # Both sides are ascending by hash and hold each hash once, so they correspond one to one.
+    return F.array_sort(F.zip_with(find(a), find(b), lambda x, y: F.struct(position_of(x).alias("pos"), position_of(y).alias("other"))))
 
 
-def match_positions(a: Column, b: Column) -> Column:
-    """array of struct(h, pos, other): the anchors of one text that another has too, with the first position in each."""
-    first = lambda xs: F.map_from_entries(F.transform(F.array_distinct(F.transform(xs, lambda x: x["h"])), lambda h: F.struct(h, F.array_min(F.transform(F.filter(xs, lambda x: x["h"] == h), lambda x: x["pos"])))))
-    return _let(F.struct(first(a).alias("a"), first(b).alias("b")), lambda m: F.transform(F.array_intersect(F.map_keys(m["a"]), F.map_keys(m["b"])), lambda h: F.struct(h.alias("h"), F.element_at(m["a"], h).alias("pos"), F.element_at(m["b"], h).alias("other"))))
+def _in_order(m: Column) -> Column:
+    """How many matches keep their order with the match before or after them; a lone match does."""
+    up = lambda i: F.get(m, i)["other"] < F.get(m, i + 1)["other"]
+    kept = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: ((i > 0) & up(i - 1)) | ((i < F.size(m) - 1) & up(i)))
+    return F.when(F.size(m) <= 1, F.size(m)).otherwise(F.size(kept))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated Jaccard similarity of two texts' anchors: those that match by hash and keep their order, over all, up to the hash to which both sketches are complete. Two without anchors are alike."""
+
+    def of(p):
+        cut = lambda s: F.filter(s, lambda x: hash_of(x) <= p["to"])
+        return _let(F.struct(cut(p["a"]).alias("a"), cut(p["b"]).alias("b")), lambda q: _let(match_positions(q["a"], q["b"]), lambda m: _in_order(m) / (F.size(q["a"]) + F.size(q["b"]) - F.size(m))))
+
+    both = F.struct(a.alias("a"), b.alias("b"), F.least(_bound(a), _bound(b)).alias("to"))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).when(a == b, 1.0).otherwise(_let(both, of)).cast("double")
 
 
 def next_ids(docs: DataFrame, id_col: str) -> DataFrame:
@@ -119,18 +145,21 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     document as their next and are no row's next.
 
     Texts are shuffled by id once and their first halves once more by the
-    next id; the sketches travel along, so each text is sketched once.
+    next id; the sketches travel along, so each text is sketched once. Rows
+    without an id are dealt out by their texts.
     """
     ids = materialize(next_ids(docs, id_col), "fp-next")
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Both joins below read one exchange of the texts. The key is a struct, which is never null: a null
     # filter that the optimizer added on one side alone would make it two exchanges.
-    a = docs.select(F.struct(F.col(id_col).alias("id")).alias("k"), text.alias("text"), sketch(text).alias("sk")).repartition("k")
+    key = lambda i, spread_by: F.struct(i.alias("id"), F.when(i.isNull(), spread_by).otherwise(F.lit(0)).cast("long").alias("salt"))
+    a = spread(docs.select(F.col(id_col).alias("id"), text.alias("text"))).select(key(F.col("id"), F.xxhash64("text")).alias("k"), "text", sketch(F.col("text")).alias("sk")).repartition("k")
     first = F.lit(None) if ids.isEmpty() else F.lit(ids.agg(F.min("id")).first()[0])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    then = ids.select(F.struct("id").alias("k"), "next")
-    left = a.join(then, "k", "left").select(F.col("k.id").alias("id"), F.struct(F.coalesce("next", first.cast(docs.schema[id_col].dataType)).alias("id")).alias("next"), n.alias("n"), half.alias("half"), F.substring(F.col("text"), F.lit(1), n - half).alias("head"), "sk")
+    kind = docs.schema[id_col].dataType
+    then = ids.select(key(F.col("id"), F.lit(0)).alias("k"), "next")
+    left = a.join(then, "k", "left").select(F.col("k.id").alias("id"), key(F.coalesce("next", first.cast(kind)), F.lit(0)).alias("next"), n.alias("n"), half.alias("half"), F.substring(F.col("text"), F.lit(1), n - half).alias("head"), "sk")
     right = a.groupBy("k").agg(F.min_by(F.struct("text", "sk"), "text").alias("o")).select(F.col("k").alias("oid"), F.col("o.text").alias("otext"), F.col("o.sk").alias("osk"))
     j = left.join(right, left["next"] == right["oid"], "left")
     edited = F.concat("head", F.coalesce(F.substring(F.col("otext"), F.lit(1), F.col("half")), F.lit("")))

@@ -152,6 +152,52 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(d, bench.where("false")).count() == 0
 
 
+def slow_sketch(anchors):
+    """(hash, first position) of the anchors that a fingerprint keeps, ascending."""
+    first = {}
+    for a in anchors:
+        h, p = a >> 32, a & 0xFFFFFFFF
+        first[h] = min(first.get(h, p), p)
+    ranked = sorted(first.items())
+    return [x for k, x in enumerate(ranked) if k < fingerprint.KEEP or x[0] < -(1 << 31) + (1 << 32) // fingerprint.SHARE]
+
+
+def slow_likeness(a, b):
+    if a == b:
+        return 1.0
+    whole = lambda s: (1 << 31) - 1 if len(s) < fingerprint.KEEP else max(s[-1][0], -(1 << 31) + (1 << 32) // fingerprint.SHARE - 1)
+    to = min(whole(a), whole(b))
+    x, y = ({h: p for h, p in s if h <= to} for s in (a, b))
+    m = sorted((x[h], y[h]) for h in x.keys() & y.keys())
+    kept = sum(any(0 <= j < len(m) and (m[i][1] < m[j][1]) == (i < j) for j in (i - 1, i + 1)) for i in range(len(m))) if len(m) > 1 else len(m)
+    return kept / (len(x) + len(y) - len(m))
+
+
+def test_fingerprints_of_every_script(spark):
+    rng = random.Random(2)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4E00 + 2000)) for _ in range(n))
+    thai = lambda n: "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(n))
+    blob = lambda n: "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGH0123456789") for _ in range(n))
+    for make in (han, thai, blob, lambda n: prose(rng, n // 5)):
+        docs = spark.createDataFrame([(k, make(n)) for k, n in enumerate((1000, 399, 401, 3000, 60_000))], "doc_id long, text string")
+        got = fingerprint.fingerprint_documents(docs).collect()
+        assert all(0.15 < r["near_edited"] < 0.6 and r["near_next"] < 0.1 for r in got), got
+        assert max(len(r["fingerprint"]) for r in got) > 5 * min(len(r["fingerprint"]) for r in got)  # grows with the text
+
+
+def test_likeness_matches_positions(spark):
+    word = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    t = " ".join(word * 2)
+    rows = [(t, t), (t, " ".join(reversed(word * 2))), ("x y z w " + t, t), ("", ""), ("", t), ("a", "a")]
+    got = spark.createDataFrame(rows, "a string, b string").select(fingerprint.likeness(fingerprint.sketch(F.col("a")), fingerprint.sketch(F.col("b")))).collect()
+    assert [r[0] for r in got][0] == got[3][0] == got[5][0] == 1.0 and got[1][0] < 0.2 and got[2][0] > 0.6 and got[4][0] == 0
+    up = [(h << 32) | p for h, p in ((1, 0), (2, 10), (3, 20), (4, 30))]
+    down = [(h << 32) | p for h, p in ((1, 30), (2, 20), (3, 10), (4, 0))]
+    row = spark.createDataFrame([(up, down)], "a array<bigint>, b array<bigint>")
+    got = row.select(fingerprint.likeness(F.col("a"), F.col("b")), fingerprint.match_positions(F.col("a"), F.col("b"))).first()
+    assert got[0] == 0 and [tuple(x) for x in got[1]] == [(0, 30), (10, 20), (20, 10), (30, 0)]
+
+
 def test_fingerprints(docs, rows, empty):
     got = fingerprint.fingerprint_documents(docs)
     assert got.count() == len(rows) and fingerprint.fingerprint_documents(empty).count() == 0
@@ -174,13 +220,31 @@ def test_fingerprints(docs, rows, empty):
         assert ((hit["near_edited"] >= 0) & (hit["near_edited"] <= 1)).all()
     long = pdf[pdf["n_chars"] > 300]
     assert long["near_edited"].mean() > 0.2 and long["near_next"].mean() < 0.1
+    brute = {}
+    known = {t or "" for _, t, *_ in rows}
+    edits = {i: None for i in ids}
+    for i in ids:
+        t, nxt = text[i], text[ids[(ids.index(i) + 1) % len(ids)]]
+        edits[i] = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+    every = sorted(known | set(edits.values()))
+    found = docs.sparkSession.createDataFrame([(k, t) for k, t in enumerate(every)], "k long, t string").select("k", fingerprint.anchors(F.col("t")).alias("a")).collect()
+    brute = {every[r["k"]]: slow_sketch(r["a"]) for r in found}
+    for i in ids:
+        if sum(x[0] == i for x in rows) == 1:
+            r = pdf[pdf["doc_id"] == i].iloc[0]
+            nxt = text[ids[(ids.index(i) + 1) % len(ids)]]
+            assert r["fingerprint"] == ",".join(f"{h % (1 << 32):08x}:{p:x}" for h, p in brute[text[i]])
+            assert r["near_edited"] == pytest.approx(slow_likeness(brute[text[i]], brute[edits[i]]))
+            assert r["near_next"] == pytest.approx(slow_likeness(brute[text[i]], brute[nxt]))
 
 
 def test_syncmers_are_closed(spark):
     parts = [5, 1, 4, 2, 9, 9, 3, 8, 7, 0]
     got = spark.createDataFrame([(parts,)], "p array<int>").select(fingerprint.closed_syncmers(F.col("p"), 4)).first()[0]
     want = [i for i in range(len(parts) - 3) if min(parts[i : i + 4]) in (parts[i], parts[i + 3])]
-    assert [x["pos"] for x in got] == want
+    assert [x & 0xFFFFFFFF for x in got] == want
+    short = spark.createDataFrame([([1, 2],), ([],)], "p array<int>").select(fingerprint.closed_syncmers(F.col("p"), 4)).collect()
+    assert [len(r[0]) for r in short] == [1, 0]
 
 
 def slow_print(t, k):
