@@ -104,10 +104,10 @@ def numbered(df: DataFrame, by: str, name: str, what: str) -> DataFrame:
     key = [F.col(by).isNull(), F.col(by)]
     cut = materialize(df.repartitionByRange(parallelism(spark), *key).withColumn("__part", F.spark_partition_id()), what)
     counts = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    over = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    before = counts.select(F.col("__part").alias("p"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("__before"))
+    over = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    before = counts.select("__part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("__before")).withColumnRenamed("__part", "__p")
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*key)) - 1
-    out = cut.withColumn(name, own).join(F.broadcast(before), F.col("__part") == F.col("p"))
+    out = cut.withColumn(name, own).join(F.broadcast(before), F.col("__part") == F.col("__p"))
     return out.select(*df.columns, (F.col(name) + F.col("__before")).cast("long").alias(name))
 
 

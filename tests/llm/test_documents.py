@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparksieve.llm import decontaminate, fingerprint, langid, line_dedup, mixing, simhash
+from sparksieve.llm import common, decontaminate, fingerprint, langid, line_dedup, mixing, simhash
 from sparksieve.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, target string, fingerprint string, __tag int"
@@ -86,8 +86,46 @@ def test_mixing(docs, rows, empty):
     key = ["doc_id", "size", "source", "copies"]
     assert sorted(map(str, got[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
     assert mixing.mix(empty).count() == 0
-    copies = mixing.mixed_documents(docs).groupBy("doc_id").count().collect()
-    assert max(r["count"] for r in copies) >= 2
+    # The mix takes every row, without an id or with a shared one, as often as mix() says.
+    copies = mixing.mixed_documents(docs).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n"), F.max("mix_copy").alias("top")).collect()
+    want = mixing.mix(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).where("n > 0").collect()
+    assert sorted(map(str, [(r["doc_id"], r["source"], r["n"]) for r in copies])) == sorted(map(str, [(r["doc_id"], r["source"], r["n"]) for r in want]))
+    assert max(r["top"] for r in copies) == 2 and any(r["doc_id"] is None for r in copies)
+    assert mixing.mixed_documents(docs).columns == [*docs.columns, "mix_rate", "mix_copy"]
+
+
+def test_many_sources_and_hot_cells(spark):
+    """The water level and the numbering of sources by brute force, with fewer partitions than sources."""
+    sizes = spark.range(3000).select("id", F.when(F.col("id") % 97 != 0, F.concat(F.lit("host"), (F.col("id") * F.col("id") % 211).cast("string"))).alias("source"), (F.col("id") % 5 + (F.col("id") * F.col("id") % 211)).alias("size"))
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    size = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    names = sorted(s for s in size if s is not None) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    want, left, rest = {}, set(names), 1.5 * sum(size.values())
+    while left:
+        t = {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = [s for s in left if t[s] > 2 * size[s]]
+        if not over:
+            want.update(t)
+            break
+        for s in over:
+            want[s] = 2 * size[s]
+            rest -= want[s]
+            left.discard(s)
+    assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in want)
+    mixed = mixing.mix_sizes(sizes).groupBy("source").agg(F.sum("taken").alias("k"), F.max("size").alias("m")).collect()
+    assert all(abs(r["k"] - want[r["source"]]) <= r["m"] for r in mixed)
+
+
+def test_spread_join(spark):
+    left = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 != 1, F.col("id") % 900).alias("k"))
+    right = spark.range(800).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"), F.when(F.col("id") == 7, 1700).otherwise(1).alias("n"))
+    for how in ("left", "inner"):
+        got = common.spread_join(left, right, ["k"], "n", F.col("id"), how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right.drop("n"), "k", how).select("id", "k", "v").collect()))
+    got = common.numbered(left.select("id", F.nullif(F.col("id") % 1000, F.lit(5)).alias("x")), "x", "at", "t").collect()
+    assert sorted(r["at"] for r in got) == list(range(5000))
+    assert [r["x"] for r in sorted(got, key=lambda r: r["at"])] == sorted((r["x"] for r in got), key=lambda x: (x is None, x))
 
 
 def test_rates_are_exponential_tilts(spark):
