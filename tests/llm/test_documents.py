@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -164,14 +165,38 @@ def brute_tiles(doc, item, width):
 
 def test_tiling_matches_brute_force():
     rng = random.Random(3)
-    for _ in range(150):
-        item = [rng.choice("abcd") for _ in range(rng.randint(1, 14))]
-        doc = [rng.choice("abcde") for _ in range(rng.randint(1, 30))]
-        t = decontaminate.Tiler([(0, " ".join(item))], 3, 0.01)
-        got = t.score(" ".join(doc))
-        want = sum(n for *_, n in brute_tiles(doc, item, 3))
-        # Ties between equally long tiles may be taken in another order; lengths found first are the same.
-        assert (got[0][3] if got else 0) == pytest.approx(want, abs=3) and bool(got) == bool(want)
+    for k in range(400):
+        abc = ("abcd", "ab", "a", "abcdefgh")[k % 4]
+        items = [[rng.choice(abc) for _ in range(rng.randint(1, 14))] for _ in range(3)]
+        doc = [rng.choice(abc + "x") for _ in range(rng.randint(1, 30))]
+        want = []
+        for i, item in enumerate(items):
+            w = min(3, len(item))
+            tiles = brute_tiles(doc, item, w) if w >= decontaminate.MIN_ITEM else []
+            got = sum(n for *_, n in tiles)
+            if tiles:
+                want.append((i, got / len(item), len(tiles), got, max(n for *_, n in tiles)))
+        for runs in (decontaminate.RUNS, 1):  # listed runs, and rows of run lengths where there are too many
+            t = decontaminate.Tiler([(i, " ".join(x)) for i, x in enumerate(items)], 3, 0.01, runs)
+            assert sorted(t.score(" ".join(doc))) == sorted(want)
+
+
+def test_tiling_of_repetitive_short_and_unspaced_texts():
+    t0 = time.process_time()
+    t = decontaminate.Tiler([(1, "w " * 200), (2, "w " * 7 + "v"), (3, "yes"), (4, "one two three four"), (5, "\u4f60\u597d\u4e16\u754c\u548c\u5e73"), (6, "")])
+    assert [x[:2] for x in t.score("w " * 100_000)] == [(1, 1.0), (2, 0.875)]
+    assert t.score("yes") == [] and [x[0] for x in t.score("a one, two THREE four b")] == [4] and t.score("one two three") == []
+    assert [x[:2] for x in t.score("\u6211\u4f60\u597d\u4e16\u754c\u548c\u5e73\u5417")] == [(5, 1.0)]
+    lots = decontaminate.Tiler([(1, " ".join("a a a a a b a a a a a c".split() * 20))], runs=10_000)
+    assert lots.score(" ".join("a a a a a d a a a a a e".split() * 2000))[0][1] > 0.8
+    assert time.process_time() - t0 < 20
+    ids = np.array([random.Random(1).randrange(9) for _ in range(500)])
+    sums = decontaminate.KarpRabin(ids)
+    for w in (1, 3, 5):
+        h = sums.windows(np.arange(500 - w + 1), w)
+        assert len(set(h.tolist())) == len({tuple(ids[k : k + w]) for k in range(500 - w + 1)})
+        again = decontaminate.KarpRabin(ids[200:]).windows(np.arange(300 - w + 1), w)
+        assert (again == h[200:]).all()  # the hash of a window does not depend on where it stands
 
 
 def test_leaks(spark, docs, empty):
@@ -184,8 +209,8 @@ def test_leaks(spark, docs, empty):
     want = {(1, 2), (2, 4), (None, 3), (5, 9)}
     got = decontaminate.leaks(d, bench)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
-    joined = decontaminate.leaks(d, bench, broadcast_bytes=0)
-    assert sorted(map(str, joined.collect())) == sorted(map(str, got.collect()))
+    blocks = decontaminate.leaks(d, bench, block_bytes=500)
+    assert sorted(map(str, blocks.collect())) == sorted(map(str, got.collect()))
     assert {r["doc_id"] for r in decontaminate.decontaminate(d, bench).collect()} == {3, 4, None}
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(d, bench.where("false")).count() == 0
 
