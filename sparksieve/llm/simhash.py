@@ -1,19 +1,26 @@
 """SimHash near-dedup over a Gray-order hierarchical index.
 
-The index has two kinds of levels. Upper nodes are masked bit patterns: the 64
-bits are cut into max_bits + shared blocks, and fingerprints that differ in at
-most max_bits bits agree on ``shared`` blocks at least, so both hang under the
-node that the bits of those blocks name. These nodes are the unit of distribution.
-Within a node, the members are sorted by Gray rank, and a tree is built over
-the order: each tree node holds the mask of the bits that all of its members
-share and their pattern. The join walks pairs of tree nodes, accumulates the
-differences of shared bits and prunes a whole pair once they exceed the limit;
-where even the bits not shared cannot exceed it, the whole groups are linked
-at once, so dense groups of copies never expand into pairs.
+The index has two kinds of levels. Upper nodes are masked bit patterns: all
+fingerprints that agree on the bits of a mask hang under one node, and nodes
+are the unit of distribution. Within a node, the members are sorted by Gray
+rank, and a tree is built over the order: each tree node holds the mask of the
+bits that all of its members share and their pattern. The join walks pairs of
+tree nodes, accumulates the differences of shared bits and prunes a whole pair
+once they exceed the limit; where even the bits not shared cannot exceed it,
+the whole groups are linked at once, so dense groups of copies never expand
+into pairs.
+
+Two sets of masks are used. For a small radius, the 64 bits are cut into
+max_bits + shared blocks and a mask takes ``shared`` of them: fingerprints
+within the radius agree on one mask at least, so no link is lost. For a wanted
+similarity of the shingle sets, which needs a wide radius, fingerprints of 128
+bits are used and masks of WIDE_BITS bits drawn from them (see wide_masks).
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from ..plans.parallel import spread
+from .common import drop_table, materialize, small_batches, spread_join
 from .components import connected_components
 
 #: Fingerprints link at so many differing bits or fewer.
@@ -33,6 +41,8 @@ MAX_BITS = 3
 SHARED = 2
 #: Words in a shingle of the registered query; the pipeline takes five.
 SHINGLE = 3
+#: Share of the pairs at similarity 0.8 that no wide mask joins, and the differing bits of 128 up to which a pair is proposed.
+MISSED, WIDE_RADIUS = 0.05, 28
 #: Members of an index node that one task works on together; larger nodes are dealt out in pairs of blocks.
 BLOCK = 4096
 #: Texts of a candidate component that one task compares by their shingle sets; larger ones are dealt out in pairs of groups.
@@ -63,28 +73,82 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def _fingerprints(shingle: int):
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: every bit of the result depends on every bit of x."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """One hash per shingle of fingerprint(), in order, combined from one hash per word."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    k = min(shingle, len(h))
+    n = len(h) - k + 1 if k else 0
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    return _mixed(out)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128-bit SimHash of shingle hashes, repeats counted, as two words; zero without any."""
+    out = []
+    for h in (hashes, _mixed(hashes ^ np.uint64(0xD6E8FEB86659FD93))):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), _PIECE):
+            ones += np.unpackbits(h[at : at + _PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]))
+    return out[0], out[1]
+
+
+def _fingerprints(shingle: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            if wide:
+                fps = np.array([wide_fingerprint(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)], np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1])], names=["id", "fp", "fp2"])
+            else:
+                fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): one row per input row, fp the fingerprint's 64 bits as a long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """(id, fp), or (id, fp, fp2) if ``wide``: one row per input row, the fingerprint's words of 64 bits as longs."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(shingle), f"id {kind}, fp long")
+    src = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    return src.mapInArrow(_fingerprints(shingle, wide), f"id {kind}, fp long" + ", fp2 long" * wide)
 
 
-def masks(max_bits: int = MAX_BITS, shared: int = SHARED) -> list[int]:
+def block_masks(max_bits: int = MAX_BITS, shared: int = SHARED) -> list[tuple[int]]:
     """Masks of ``shared`` of max_bits + shared blocks of near-equal width: near fingerprints agree on one of them."""
     n = max_bits + shared
     edges = [64 * i // n for i in range(n + 1)]
     block = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(block, shared)]
+    return [(sum(c),) for c in combinations(block, shared)]
+
+
+def wide_masks(n: int, missed: float = MISSED, seed: int = 42) -> list[tuple[int, int]]:
+    """Masks over 128 bits for n fingerprints, drawn without regard to the data.
+
+    A mask has about log2(n) bits, so an index node has a few members at any
+    size. Fingerprints of sets of similarity 0.8 differ in 15 % of their bits
+    on average (their angle is 0.47), so they agree on a mask of b bits with
+    a chance of 0.85 ** b; there are as many masks as leave ``missed`` of such
+    pairs without one, and their number grows with n to the power of 0.23.
+    """
+    bits = max(12, math.ceil(math.log2(max(2, n))))
+    rng, out = random.Random(seed), []
+    for _ in range(math.ceil(-math.log(missed) / 0.85**bits)):
+        m = sum(1 << b for b in rng.sample(range(128), bits))
+        out.append((m & ((1 << 64) - 1), m >> 64))
+    return out
 
 
 def _signed(x: int) -> int:
@@ -92,10 +156,14 @@ def _signed(x: int) -> int:
 
 
 def gray_rank(v: np.ndarray) -> np.ndarray:
-    """Position of each 64-bit value in the reflected Gray order."""
-    out = v.copy()
-    for s in (1, 2, 4, 8, 16, 32):
-        out ^= out >> np.uint64(s)
+    """Position of each value in the reflected Gray order; values and ranks as rows of 64-bit words, the highest first."""
+    out, odd = np.empty_like(v), np.zeros(len(v), np.uint64)
+    for w in range(v.shape[1]):
+        x = v[:, w].copy()
+        for s in (1, 2, 4, 8, 16, 32):
+            x ^= x >> np.uint64(s)
+        out[:, w] = x ^ odd  # an odd number of ones above turns the order around
+        odd = np.where(out[:, w] & np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
     return out
 
 
@@ -121,27 +189,34 @@ _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
 def _pop(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x) if hasattr(np, "bitwise_count") else _POP[x.view(np.uint16).reshape(*x.shape, 4)].sum(-1)
+    """Ones over the words in the last axis."""
+    return np.bitwise_count(x).sum(-1, dtype=np.int64) if hasattr(np, "bitwise_count") else _POP[np.ascontiguousarray(x).view(np.uint16)].sum(-1, dtype=np.int64)
+
+
+def _int(words: np.ndarray) -> int:
+    return int.from_bytes(words.astype(">u8").tobytes(), "big")
 
 
 class GrayTree:
-    """Binary tree over Gray-sorted distinct fingerprints; a node knows the bits that all its members share."""
+    """Binary tree over Gray-sorted fingerprints (rows of words); a node knows the bits that all its members share."""
 
-    def __init__(self, values: np.ndarray) -> None:
-        self.v = values[np.argsort(gray_rank(values), kind="stable")]
+    def __init__(self, values: np.ndarray, rows: np.ndarray) -> None:
+        order = np.lexsort(gray_rank(values).T[::-1])
+        self.v, self.rows = values[order], rows[order].tolist()
+        self.full = (1 << 64 * values.shape[1]) - 1
         self.nodes: list[tuple[int, int, int, int, int, int]] = []  # lo, hi, mask, pattern, left, right
         self._build(0, len(self.v))
 
     def _build(self, lo: int, hi: int) -> int:
         part = self.v[lo:hi]
-        same_1, same_0 = int(np.bitwise_and.reduce(part)), int(np.bitwise_or.reduce(part))
+        same_1, same_0 = _int(np.bitwise_and.reduce(part)), _int(np.bitwise_or.reduce(part))
         at = len(self.nodes)
-        mask = ~(same_1 ^ same_0) & 0xFFFFFFFFFFFFFFFF
+        mask = ~(same_1 ^ same_0) & self.full
         self.nodes.append((lo, hi, mask, same_1 & mask, -1, -1))
-        if hi - lo > _LEAF:
+        if hi - lo > _LEAF and mask != self.full:
             # The highest bit not shared changes once along the Gray order of the range.
             top = (same_1 ^ same_0).bit_length() - 1
-            bit = (part >> np.uint64(top)) & np.uint64(1)
+            bit = (part[:, -1 - top // 64] >> np.uint64(top % 64)) & np.uint64(1)
             cut = lo + int(np.flatnonzero(bit != bit[0])[0])
             left = self._build(lo, cut)
             right = self._build(cut, hi)
@@ -150,8 +225,9 @@ class GrayTree:
 
 
 def gray_join(a: GrayTree, b: GrayTree | None, max_bits: int, link) -> None:
-    """Call link(x, y) for enough pairs to connect all fingerprints of a and b (or within a) at max_bits or fewer differing bits."""
+    """Call link(i, j), by the trees' rows, for enough pairs to connect all fingerprints of a and b (or within a) at max_bits or fewer differing bits."""
     other = b or a
+    width = 64 * a.v.shape[1]
     todo = [(0, 0)]
     while todo:
         i, j = todo.pop()
@@ -161,118 +237,118 @@ def gray_join(a: GrayTree, b: GrayTree | None, max_bits: int, link) -> None:
         far = ((pat ^ pat2) & shared).bit_count()
         if far > max_bits:
             continue
-        if far + 64 - shared.bit_count() <= max_bits:  # all pairs are near
+        if far + width - shared.bit_count() <= max_bits:  # all pairs are near
             for k in range(lo + 1, hi):
-                link(a.v[lo], a.v[k])
+                link(a.rows[lo], a.rows[k])
             for k in range(lo2, hi2):
-                link(a.v[lo], other.v[k])
+                link(a.rows[lo], other.rows[k])
             continue
         if b is None and i == j:
             if left < 0:
                 d = _pop(a.v[lo:hi, None] ^ a.v[None, lo:hi])
                 for x, y in zip(*np.nonzero(np.triu(d <= max_bits, 1))):
-                    link(a.v[lo + x], a.v[lo + y])
+                    link(a.rows[lo + x], a.rows[lo + y])
             else:
                 todo += [(left, left), (right, right), (left, right)]
         elif left < 0 and left2 < 0:
             d = _pop(a.v[lo:hi, None] ^ other.v[None, lo2:hi2])
             for x, y in zip(*np.nonzero(d <= max_bits)):
-                link(a.v[lo + x], other.v[lo2 + y])
+                link(a.rows[lo + x], other.rows[lo2 + y])
         elif left2 < 0 or (left >= 0 and hi - lo >= hi2 - lo2):
             todo += [(left, j), (right, j)]
         else:
             todo += [(i, left2), (i, right2)]
 
 
-def _forest(sides: list[np.ndarray], max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the near pairs within one block, or across two (with those within them left to their own tasks)."""
-    values = np.unique(np.concatenate(sides))
-    index = {int(x): k for k, x in enumerate(values)}
+def _forest(values: np.ndarray, sides: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of rows, of the near pairs within one block, or across two (with those within them left to their own tasks)."""
     uf, out = _Union(len(values)), []
 
-    def link(x, y) -> None:
-        if uf.join(index[int(x)], index[int(y)]):
-            out.append((int(x), int(y)))
-
-    if len(sides) == 1:
-        v = values
-        if len(v) <= 64:
-            d = _pop(v[:, None] ^ v[None, :])
-            for x, y in zip(*np.nonzero(np.triu(d <= max_bits, 1))):
-                link(v[x], v[y])
-        else:
-            gray_join(GrayTree(v), None, max_bits, link)
+    def link(i, j) -> None:
+        if uf.join(i, j):
+            out.append((i, j))
+
+    rows = np.arange(len(values))
+    if sides.any():
+        if not sides.all():
+            first = sides == 0
+            gray_join(GrayTree(values[first], rows[first]), GrayTree(values[~first], rows[~first]), max_bits, link)
+    elif len(values) <= 64:
+        for x, y in zip(*np.nonzero(np.triu(_pop(values[:, None] ^ values[None, :]) <= max_bits, 1))):
+            link(int(x), int(y))
     else:
-        gray_join(GrayTree(sides[0]), GrayTree(sides[1]), max_bits, link)
+        gray_join(GrayTree(values, rows), None, max_bits, link)
     return out
 
 
-def _join_nodes(max_bits: int):
-    """Links within runs of equal (node, unit); rows are sorted by it, a run is at most two blocks."""
+def _join_nodes(max_bits: int, words: int):
+    """Links of keys within runs of equal (node, unit); rows are sorted by it, a run is at most two blocks."""
+
+    def work(nodes, keys, values, sides):
+        cut = np.flatnonzero((nodes[1:] != nodes[:-1]).any(axis=1)) + 1
+        starts, ends = np.r_[0, cut], np.r_[cut, len(keys)]
+        # Most nodes with company have two members: those are compared at once.
+        two = starts[ends - starts == 2]
+        two = two[(_pop(values[two] ^ values[two + 1]) <= max_bits) & ((sides[two] == 0) | (sides[two] != sides[two + 1]))]
+        found = [np.stack([keys[two], keys[two + 1]], axis=1)]
+        for k in np.flatnonzero(ends - starts > 2):
+            at = slice(starts[k], ends[k])
+            pairs = _forest(values[at], sides[at], max_bits)
+            if pairs:
+                found.append(keys[at][np.array(pairs)])
+        got = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-
-        def work(keys, fps, sides):
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            starts, ends = np.r_[0, cut], np.r_[cut, len(fps)]
-            # Most nodes with company have two members: those are compared at once.
-            two = starts[ends - starts == 2]
-            two = two[_pop(fps[two] ^ fps[two + 1]) <= max_bits]
-            got = list(zip(fps[two].tolist(), fps[two + 1].tolist()))
-            for k in np.flatnonzero(ends - starts > 2):
-                part, side = fps[starts[k] : ends[k]], sides[starts[k] : ends[k]]
-                got += _forest([part[side == s] for s in np.unique(side)], max_bits) if len(set(side.tolist())) > 1 or side[0] == 0 else []
-            return got
-
-        def emit(links):
-            a = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
-
         for b in batches:
-            keys = np.stack([b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)], axis=1)
-            fps = b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
-            sides = b.column(4).to_numpy(zero_copy_only=False)
-            if held is not None:
-                keys, fps, sides = np.concatenate([held[0], keys]), np.concatenate([held[1], fps]), np.concatenate([held[2], sides])
-            last = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            col = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            part = np.stack(col[:2], axis=1), col[2], np.stack(col[4:], axis=1).view(np.uint64), col[3]
+            held = part if held is None else tuple(np.concatenate(x) for x in zip(held, part))
+            last = np.flatnonzero((held[0] != held[0][-1]).any(axis=1))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield emit(work(keys[:cut], fps[:cut], sides[:cut]))
-            held = keys[cut:], fps[cut:], sides[cut:]
+                yield work(*[x[:cut] for x in held])
+                held = tuple(x[cut:] for x in held)
         if held is not None and len(held[1]):
-            yield emit(work(*held))
+            yield work(*held)
 
     return run
 
 
-def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, shared: int = SHARED) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of ``fp`` values at max_bits or fewer differing bits.
+def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, masks: list[tuple[int, ...]] | None = None) -> DataFrame:
+    """(a, b): links of keys; their components are those of all pairs at max_bits or fewer differing bits that agree on one of ``masks``.
 
-    ``distinct`` has distinct fingerprints in ``fp``. Nodes of more than
-    ``block`` members are dealt out as all pairs of their blocks, so no task
-    holds more than two blocks, and no link is lost.
+    ``nodes`` is a table of (key, a word of the fingerprint or more), keys
+    distinct longs. The masks default to block_masks(), which lose no pair.
+    Index nodes of more than ``block`` members are dealt out as all pairs of
+    their blocks, so no task holds more than two blocks, and no link is lost.
     """
-    spark = distinct.sparkSession
-    ms = masks(max_bits, shared)
-    nodes = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("p")) for i, m in enumerate(ms)])).alias("n")).select("n.m", "n.p", "fp")
-    hot = nodes.groupBy("m", "p").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block)
-    hot = materialize(hot.select("m", "p", F.ceil(F.col("c") / block).cast("int").alias("w")), "sh-hot")
+    spark = nodes.sparkSession
+    words = nodes.columns[1:]
+    masks = block_masks(max_bits) if masks is None else masks
+    every = F.array(*[F.array(F.lit(k).cast("long"), *[F.lit(_signed(x)).cast("long") for x in m]) for k, m in enumerate(masks)])
+    # Nodes go by a hash of mask and pattern: nodes that it may merge are compared in vain, and nothing else.
+    index = nodes.select("key", *words, F.explode(every).alias("m"))
+    index = index.select("key", *words, F.xxhash64(F.col("m")[0], *[F.col(w).bitwiseAND(F.col("m")[i + 1]) for i, w in enumerate(words)]).alias("n"))
+    hot = index.groupBy("n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block)
+    hot = materialize(hot.select("n", F.ceil(F.col("c") / block).cast("int").alias("w")), "sh-hot")
     if hot.isEmpty():
-        units = nodes.select("m", "p", F.lit(0).cast("long").alias("u"), "fp", F.lit(0).alias("side"))
+        units = index.select("n", F.lit(0).cast("long").alias("u"), "key", F.lit(0).alias("side"), *words)
     else:
-        j = nodes.join(hot, ["m", "p"], "left").withColumn("w", F.coalesce("w", F.lit(1)))
-        at = F.pmod(F.xxhash64("fp"), F.col("w")).cast("int")
+        j = index.join(hot, "n", "left").withColumn("w", F.coalesce("w", F.lit(1)))
+        at = F.pmod(F.xxhash64("key"), F.col("w")).cast("int")
         other = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda k: F.struct((F.least(at, k).cast("long") * F.col("w") + F.greatest(at, k)).alias("u"), F.when(at <= k, 0).otherwise(1).alias("side")))
-        units = j.select("m", "p", "fp", F.explode(other).alias("x")).select("m", "p", F.col("x.u").alias("u"), "fp", F.col("x.side").alias("side"))
+        units = j.select("n", "key", *words, F.explode(other).alias("x")).select("n", F.col("x.u").alias("u"), "key", F.col("x.side").alias("side"), *words)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    units = units.repartition("m", "p", "u").sortWithinPartitions("m", "p", "u")
+    units = units.repartition("n", "u").sortWithinPartitions("n", "u")
     was = spark.conf.get(key)
     try:
         spark.conf.set(key, "20000")
-        links = materialize(units.mapInArrow(_join_nodes(max_bits), "a long, b long").distinct(), "sh-links")
+        links = materialize(units.mapInArrow(_join_nodes(max_bits, len(words)), "a long, b long").distinct(), "sh-links")
     finally:
         spark.conf.set(key, was)
+    drop_table(hot, spark)
     return links
 
 
@@ -287,21 +363,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "sh-fps")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "sh-distinct")
-    roots = connected_components(near_links(distinct.select("fp"), max_bits, block, shared))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "sh-distinct")
+    links = near_links(distinct.select(F.col("fp").alias("key"), "fp"), max_bits, block, block_masks(max_bits, shared))
+    roots = connected_components(links)
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = materialize(named.join(least, "root").select(F.col("fp").alias("f"), "component_id"), "sh-names")
-    return fps.join(names, fps["fp"] == names["f"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = materialize(named.join(least, "root").select("fp", "n", "component_id"), "sh-names")
+    out = spread_join(fps, names, ["fp"], "n", F.col("id"), "inner")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct shingle hashes of fingerprint(), sorted; empty without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    return np.unique(np.fromiter((digest(join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))), np.uint64))
+    """The distinct shingle hashes, sorted; empty without words."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
@@ -319,7 +393,7 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("root", "key", "fp", "w")], pa.array(sets, pa.list_(pa.int64()))], names=["root", "key", "fp", "w", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "s"])
 
     return run
 
@@ -328,9 +402,9 @@ def _alike(max_bits: int, similarity: float):
     """Links of keys within runs of equal (root, unit): near fingerprints whose shingle sets are alike."""
 
     def work(rows) -> list[tuple[int, int]]:
-        keys, sets = [r[0] for r in rows], [r[3] for r in rows]
-        fps = np.array([r[1] for r in rows], np.int64).view(np.uint64)
-        sides = np.array([r[2] for r in rows])
+        keys, sets = [r[0] for r in rows], [r[4] for r in rows]
+        fps = np.array([r[1:3] for r in rows], np.int64).view(np.uint64)
+        sides = np.array([r[3] for r in rows])
         uf, out = _Union(len(rows)), []
         two = bool(sides.any())
         for i in np.flatnonzero(sides == 0).tolist():
@@ -350,9 +424,9 @@ def _alike(max_bits: int, similarity: float):
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            sets = b.column(5)
+            sets = b.column(6)
             flat, ends = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
-            for k, row in enumerate(zip(*[b.column(c).to_pylist() for c in range(5)])):
+            for k, row in enumerate(zip(*[b.column(c).to_pylist() for c in range(6)])):
                 if row[:2] != at:
                     if len(held) > 1:
                         yield emit(work(held))
@@ -364,37 +438,42 @@ def _alike(max_bits: int, similarity: float):
     return run
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK, shared: int = SHARED, group: int = GROUP) -> DataFrame:
-    """(id_col, component_id) like near_classes(), but a link also needs a Jaccard similarity of the shingle sets.
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = SHINGLE, max_bits: int = WIDE_RADIUS, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+    """(id_col, component_id) like near_classes(), but a link is a Jaccard similarity of the shingle sets.
 
-    The nodes are distinct texts. Components of near fingerprints are only
-    candidates: within each, every pair at max_bits or fewer is compared by its
-    sets unless verified links join it already, so no verified link is lost
-    and none below ``similarity`` is made. A candidate of more than ``group``
-    texts is dealt out as all pairs of its groups. Only texts with company are
-    shuffled, once for each distinct one.
+    The nodes are distinct texts with fingerprints of 128 bits. Components of
+    pairs that agree on a wide mask and differ in ``max_bits`` or fewer are
+    only candidates: within each, every pair at max_bits or fewer is compared
+    by its sets unless verified links join it already, so no link below
+    ``similarity`` is made, and of those above it only what the masks miss is
+    lost (see wide_masks). A candidate of more than ``group`` texts is dealt
+    out as all pairs of its groups. Only texts with company are shuffled, once
+    for each distinct one; exact copies cost one row.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("key")).alias("x"), text.alias("text"))
-    fps = materialize(fingerprints(src, "x", "text", shingle).select("id.id", "id.key", "fp"), "sh-fps")
-    nodes = materialize(fps.groupBy("key", "fp").agg(F.min("id").alias("least")), "sh-nodes")
-    roots = connected_components(near_links(nodes.select("fp").distinct(), max_bits, block, shared))
-    named = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "sh-named")
-    many = named.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("root", F.ceil(F.col("c") / group).cast("int").alias("w"))
-    members = materialize(named.join(many, "root").select("root", "key", "fp", "w"), "sh-members")
-    texts = docs.select(F.xxhash64(text).alias("k"), text.alias("text")).join(members, F.col("k") == members["key"])
-    texts = texts.groupBy("root", "key", "fp", "w").agg(F.first("text").alias("text"))
-    sets = materialize(texts.mapInArrow(_sets(shingle), "root long, key long, fp long, w int, s array<long>"), "sh-sets")
+    fps = materialize(fingerprints(src, "x", "text", shingle, wide=True).select("id.id", "id.key", "fp", "fp2"), "sh-fps")
+    nodes = materialize(fps.groupBy("key", "fp", "fp2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "sh-nodes")
+    roots = connected_components(near_links(nodes.select("key", "fp", "fp2"), max_bits, block, wide_masks(nodes.count())))
+    many = roots.groupBy(F.col("root").alias("r")).agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("w"))
+    members = roots.join(many, F.col("root") == F.col("r")).join(nodes, F.col("node") == F.col("key")).select("root", "key", "fp", "fp2", "w", "n")
+    members = materialize(members, "sh-members")
+    # Of the copies of a text, the row with the smallest id stands for all, so no copy travels.
+    one = nodes.join(members.select(F.col("key").alias("k")), F.col("key") == F.col("k")).select("key", F.col("least").alias("__one"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k"), text.alias("text")).join(one, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("__one")))
+    texts = texts.select("key", "text").dropDuplicates(["key"])
+    sets = texts.mapInArrow(_sets(shingle), "key long, s array<long>")
+    sets = materialize(sets.join(members, "key").select("root", "key", "fp", "fp2", "w", "s"), "sh-sets")
     at = F.pmod(F.xxhash64("key"), F.col("w")).cast("int")
     unit = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda k: F.struct((F.least(at, k).cast("long") * F.col("w") + F.greatest(at, k)).alias("u"), F.when(at <= k, 0).otherwise(1).alias("side")))
-    units = sets.select("root", "key", "fp", "s", F.explode(unit).alias("x")).select("root", "x.u", "key", "fp", "x.side", "s")
+    units = sets.select("root", "key", "fp", "fp2", "s", F.explode(unit).alias("x")).select("root", "x.u", "key", "fp", "fp2", "x.side", "s")
     units = units.repartition("root", "u").sortWithinPartitions("root", "u")
     links = materialize(units.mapInArrow(_alike(max_bits, similarity), "a long, b long"), "sh-alike")
     joined = connected_components(links)
-    of = nodes.join(joined, nodes["key"] == joined["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    of = nodes.join(joined, nodes["key"] == joined["node"], "left").select("key", "n", "least", F.coalesce("root", "key").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = materialize(of.join(least, "root").select(F.col("key").alias("k"), "component_id"), "sh-names")
-    return fps.join(names, fps["key"] == names["k"]).select(F.col("id").alias(id_col), "component_id")
+    names = materialize(of.join(least, "root").select("key", "n", "component_id"), "sh-names")
+    return spread_join(fps, names, ["key"], "n", F.col("id"), "inner").select(F.col("id").alias(id_col), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:

@@ -352,33 +352,62 @@ def test_simhash(docs, rows, empty):
 def test_near_copies_are_verified(spark):
     rng = random.Random(11)
     rows, sets = [], {}
-    for g in range(6):  # a block said again and again outweighs the rest, so the fingerprints agree whatever the rest is
+
+    def changed(text, n):
+        ws = text.split()
+        for k in rng.sample(range(len(ws)), n):
+            ws[k] = prose(rng, 1, "xyz")
+        return " ".join(ws)
+
+    for g in range(60):  # from similar (0.8 and above) to unlike
+        base = prose(rng, rng.randint(60, 200))
+        n = len(base.split())
+        rows += [(100 * g + k, t, "en", "a") for k, t in enumerate([base, changed(base, n // 60), changed(base, n // 45), changed(base, n // 20), changed(base, n // 12), base.upper()])]
+    for g in range(60, 66):  # a block said again and again outweighs the rest, so the fingerprints agree whatever the rest is
         refrain = (prose(rng, 30) + " ") * 20
         tails = [prose(rng, 14), prose(rng, 60), prose(rng, 60)]
-        for k, t in enumerate([tails[0], tails[0] + " more", *tails[1:], tails[1] + " and more", tails[1].upper()]):
-            rows.append((100 * g + k, refrain + t, "en", "a"))
-    rows += [(900, "", "en", "a"), (901, None, "en", "a"), (902, rows[0][1], "en", "a"), (None, rows[1][1], "en", "a")]
+        rows += [(100 * g + k, refrain + t, "en", "a") for k, t in enumerate([tails[0], tails[0] + " more", *tails[1:], tails[1] + " and more", tails[1].upper()])]
+    rows += [(9000, "", "en", "a"), (9001, None, "en", "a"), (9002, rows[0][1], "en", "a"), (None, rows[1][1], "en", "a")]
     d = frame(spark, rows)
     for i, t, *_ in rows:
         ws = WORD.findall((t or "").lower())
         sets[i] = {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
     ids = sorted(i for i in sets if i is not None)
-    text = {i: t for i, t, *_ in rows}
-    prints = {i: slow_print(text[i], 5) for i in ids}
     like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0
-    near = [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 7]
-    up = {i: i for i in ids}
-    for a, b in near:
-        if like(a, b) >= 0.8:
-            x, y = up[a], up[b]
-            up = {i: min(x, y) if r in (x, y) else r for i, r in up.items()}
-    assert any(like(a, b) < 0.8 for a, b in near) and any(like(a, b) >= 0.8 for a, b in near)
-    for group in (256, 2):
-        got = simhash.drop_near_copies(d, similarity=0.8, shingle=5, max_bits=7, shared=3, group=group)
-        assert {r[0] for r in got.select("doc_id").collect()} == {*up.values(), None}
+    links = [(a, b) for a in ids for b in ids if a < b and a // 100 == b // 100 or (a, b) == (0, 9002) if like(a, b) >= 0.8]
+    shingles = {i: simhash.shingle_set(t, 5) for i, t, *_ in rows}
+    assert all(simhash.jaccard(shingles[a], shingles[b]) == pytest.approx(like(a, b)) for a in ids[:40] for b in ids[:40])
+    for group, block in ((128, 4096), (2, 8)):
+        got = {r[0]: r[1] for r in simhash.similar_classes(d.where("doc_id is not null"), similarity=0.8, shingle=5, group=group, block=block).collect()}
+        classes = {}
+        for i, c in got.items():
+            classes.setdefault(c, set()).add(i)
+        for c, members in classes.items():  # every class is held together by links above the bar
+            seen, todo = {c}, [c]
+            while todo:
+                x = todo.pop()
+                fresh = {y for y in members - seen if like(x, y) >= 0.8}
+                seen |= fresh
+                todo += fresh
+            assert seen == members
+        assert len(links) > 150 and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+    kept = {r[0] for r in simhash.drop_near_copies(d, similarity=0.8, shingle=5).select("doc_id").collect()}
+    assert kept == {*got.values(), None} and 9002 not in kept and 9001 not in kept
     assert simhash.drop_near_copies(d.where("false"), similarity=0.8, shingle=5).count() == 0
 
 
+def test_wide_fingerprints():
+    rng = random.Random(2)
+    for n in (0, 1, 4, 5, 6, 300):
+        t = prose(rng, n)
+        hs = simhash.shingle_hashes(t, 5).tolist()
+        assert len(hs) == (max(1, n - 4) if n else 0) and len(set(hs)) == len(hs)
+        again = simhash._mixed(np.array(hs, np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)).tolist()
+        brute = lambda xs: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in xs) > len(xs))
+        assert simhash.wide_fingerprint(np.array(hs, np.uint64)) == (brute(hs), brute(again))
+    assert simhash.shingle_hashes("a b", 5)[0] != simhash.shingle_hashes("a b c", 5)[0]
+
+
 def test_gray_join_and_blocks_lose_nothing(spark):
     rng = random.Random(1)
     fps = set()
@@ -388,13 +417,35 @@ def test_gray_join_and_blocks_lose_nothing(spark):
     want = {}
     for f, c in slow_components(fps).items():
         want.setdefault(c, set()).add(f)
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame([(signed(f), signed(f)) for f in fps], "key long, fp long")
     for block, shared in ((4096, 2), (16, 2), (4096, 3)):
-        roots = connected_components(simhash.near_links(df, block=block, shared=shared)).collect()
+        roots = connected_components(simhash.near_links(df, block=block, masks=simhash.block_masks(3, shared))).collect()
         got = {}
         for r in roots:
             got.setdefault(r["root"], set()).add(r["node"] % (1 << 64))
         assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    # 128 bits, some equal, in one node, in one block and in many
+    wide = [rng.getrandbits(128) for _ in range(20)]
+    wide += [w ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 9))) for w in wide for _ in range(12)]
+    df = spark.createDataFrame([(k, signed(w & ((1 << 64) - 1)), signed(w >> 64)) for k, w in enumerate(wide)], "key long, fp long, fp2 long")
+    up = list(range(len(wide)))
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for i, a in enumerate(wide):
+        for j in range(i):
+            if (a ^ wide[j]).bit_count() <= 7:
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for k in range(len(wide)):
+        groups.setdefault(find(k), []).append(k)
+    for block in (4096, 16):
+        got = {}
+        for r in connected_components(simhash.near_links(df, 7, block, [(0, 0)])).collect():
+            got.setdefault(r["root"], []).append(r["node"])
+        assert sorted(map(sorted, got.values())) == sorted(g for g in groups.values() if len(g) > 1)
 
 
 def test_components(spark):
