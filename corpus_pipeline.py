@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 from sparksieve.llm import decontaminate, langid, line_dedup, mixing, simhash
 from sparksieve.llm.common import scratch_path, table
 
-#: Words in a shingle of the near-duplicate stage, the differing bits at which two fingerprints are compared, and
-#: the share of common shingles that then links them. One word changed in 200 moves about five bits. See the README
-#: for the share of pairs found by similarity.
-SHINGLE, BITS, BLOCKS, SIMILARITY = 5, 7, 3, 0.8
+#: Words in a shingle of the near-duplicate stage, and the share of common shingles that links two texts.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id; every link of a group is verified."""
-    return simhash.drop_near_copies(docs, similarity=SIMILARITY, shingle=SHINGLE, max_bits=BITS, shared=BLOCKS)
+    return simhash.drop_near_copies(docs, similarity=SIMILARITY, shingle=SHINGLE)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
