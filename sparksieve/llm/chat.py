@@ -86,10 +86,13 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     content of a ``template.loss`` role has loss = true. Turns are ordered by
     (turn, role, text), nulls first. Null text counts as empty; null or unknown
     roles are illegal for the automaton but still formatted; repeated rows are
-    repeated turns; rows with a null conversation form one conversation.
+    repeated turns; rows without a conversation are conversations of one turn
+    each (equal ones of several), so that they are no unbounded group. A
+    conversation is one row of the result, so its turns meet in one task.
     """
     t = template
-    rows = turns.groupBy(F.col(conv_col)).agg(F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))).alias("turns"))
+    own = F.when(F.col(conv_col).isNull(), F.xxhash64(turn_col, role_col, text_col)).alias("__own")
+    rows = turns.groupBy(F.col(conv_col), own).agg(F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))).alias("turns"))
     checked = rows.select(F.col(conv_col), "turns", role_check(F.transform("turns", lambda x: x["role"]), automaton).alias("check"))
 
     def segs(x):

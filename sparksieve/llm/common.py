@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,13 +50,33 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/sparksieve/{what}-{uuid.uuid4().hex}"
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables that materialize() writes within are deleted at the end, when the frames that read them have been used."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            drop_table(path, spark)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     This cuts the lineage and outlives the executors, unlike a cached frame.
+    The result may be read lazily, so the table stays until temporary() ends or
+    the shared folder is cleaned.
     """
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

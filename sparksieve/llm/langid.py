@@ -23,7 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from ..plans.parallel import spread
+from .common import ascii_lower, materialize, small_batches, spread_join
+from .html_extract import extract_pages
+from .url_filter import url_host
 
 #: Rows per language that the trigram models are trained on, about; the rest of the table only scores.
 SAMPLE = 400
@@ -145,15 +148,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     evidence: they take the language that declaration and prior give but are
     not accepted. Repeated rows get equal results. Texts are read and scored
     once and never shuffled; the tables of hosts are grouped sums of one count
-    per host and language, joined back to the scores by host (adaptive
-    execution splits a host with a third of all rows).
+    per host and language, joined back to the scores; hosts and declared
+    languages with very many rows are spread (see spread_join).
     """
     spark = docs.sparkSession
     names, blocks = train(docs, text_col, declared_col, sample)
     shared = [spark.sparkContext.broadcast(b) for b in blocks]
     labels = [*names, UND]
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\x00"))
-    scored = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(declared_col).cast("string"), F.lit("\x00")).alias("declared"), host.alias("host"), _suffix(F.col(host_col).cast("string")).alias("suffix"), _likelihoods(shared)(F.col(text_col).cast("string")).alias("ll"))
+    src = spread(docs.select(id_col, text_col, declared_col, host_col))
+    scored = src.select(F.col(id_col).alias("id"), F.coalesce(F.col(declared_col).cast("string"), F.lit("\x00")).alias("declared"), host.alias("host"), _suffix(F.col(host_col).cast("string")).alias("suffix"), _likelihoods(shared)(F.col(text_col).cast("string")).alias("ll"))
     text_lang = F.when(F.col("ll").isNotNull(), F.element_at(F.array(*map(F.lit, labels)), F.array_position("ll", F.array_max("ll")).cast("int")))
     scored = materialize(scored.withColumn("text_lang", text_lang), "li-scored")
 
@@ -176,13 +180,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     up = F.array(*map(F.lit, base.tolist()))
     mixed = lambda own, above: F.zip_with(own, above, lambda a, b: (a + KAPPA * b) / (F.aggregate(own, F.lit(0.0), lambda s, x: s + x) + KAPPA))
     by_suffix = counts("suffix").select(F.col("suffix").alias("s"), mixed(F.col("c"), up).alias("sp"))
-    by_host = counts("host", "suffix").join(by_suffix, F.col("suffix") == F.col("s")).select(F.col("host").alias("h"), mixed(F.col("c"), F.col("sp")).alias("hp"))
+    rows = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    by_host = counts("host", "suffix").join(by_suffix, F.col("suffix") == F.col("s")).select("host", rows(F.col("c")).alias("n"), mixed(F.col("c"), F.col("sp")).alias("hp"))
     # P(declared | language): the column of each declared value, smoothed.
     totals = F.array(*[F.lit(x) for x in all_])
     n_declared = F.lit(float(seen.select("declared").distinct().count()))
-    by_declared = counts("declared").select(F.col("declared").alias("d"), F.zip_with("c", totals, lambda a, t: (a + CONFUSED) / (t + CONFUSED * n_declared)).alias("dp"))
+    by_declared = counts("declared").select("declared", rows(F.col("c")).alias("n"), F.zip_with("c", totals, lambda a, t: (a + CONFUSED) / (t + CONFUSED * n_declared)).alias("dp"))
 
-    j = scored.join(by_host, scored["host"] == F.col("h")).join(by_declared, scored["declared"] == F.col("d"))
+    j = spread_join(scored, materialize(by_host, "li-hosts"), ["host"], "n", F.col("id"), "inner")
+    j = spread_join(j, materialize(by_declared, "li-declared"), ["declared"], "n", F.col("id"), "inner")
     zero = F.array(*[F.lit(0.0)] * k)
     logs = F.zip_with(F.zip_with("hp", "dp", lambda a, b: F.ln(a) + F.ln(b)), F.coalesce("ll", zero), lambda a, b: a + b)
     j = j.select("id", "declared", "text_lang", logs.alias("lp"))
@@ -193,6 +199,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     return out.withColumn("accepted", F.coalesce((F.col("lang") != UND) & (F.col("posterior") >= ACCEPT) & F.col("text_lang").isNotNull(), F.lit(False)))
 
 
+def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id_col, text, lang, source) of web pages for identify().
+
+    The text is the main text, ``lang`` the primary subtag of the language that
+    the html tag declares, in lower case (null without one), ``source`` the
+    host of the url, which gives the address suffix (null without one).
+    """
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    tag = F.regexp_extract(html, r"(?is)<html\b([^<>]*)>", 1)
+    lang = F.regexp_extract(tag, r"(?is)(?:\A|[\s\"'])(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,8})", 1)
+    src = pages.select(F.col(id_col), F.col(html_col).alias("html"), F.nullif(ascii_lower(lang), F.lit("")).alias("lang"), F.nullif(url_host(F.col(url_col)), F.lit("")).alias("source"))
+    return extract_pages(src, keep=(id_col, "lang", "source")).drop("n_chars")
+
+
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents whose language is accepted; rows with a null id cannot be named by a rejection and are kept."""
     bad = identify(docs, id_col, **options).where(~F.col("accepted")).select(F.col(id_col).alias("__li_id")).distinct()

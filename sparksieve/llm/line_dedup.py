@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, spread_join
+
 WIDTH = 3
 TRIM = " \t\r"
 
@@ -36,7 +38,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, gone): the sorted line numbers of each document that a later occurrence covers."""
     w = line_windows(docs, id_col, text_col, width).select("id", F.col("pos")[0].alias("p0"), "pos", "h1", "h2")
     first = w.groupBy("h1", "h2").agg(F.min(F.struct("id", "p0")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = w.join(first, ["h1", "h2"]).where(F.struct("id", "p0") > F.col("first"))
+    first = materialize(first, "ld-first")
+    later = spread_join(w, first, ["h1", "h2"], "n", F.struct("id", "p0"), "inner").where(F.struct("id", "p0") > F.col("first"))
     return later.groupBy("id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("pos")))).alias("gone"))
 
 
@@ -54,9 +57,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sequence each, so an exact repeat of a row keeps the same lines as the row.
 
     Windows are shuffled by a 128-bit key: minima are combined before the
-    shuffle, and the join with the repeated keys is an equi-join that adaptive
-    execution splits where one window has many occurrences. Texts are shuffled
-    once, by id.
+    shuffle, and the join with the repeated keys spreads a window that very
+    many documents share (see spread_join). Texts are shuffled once, by id.
     """
     gone = repeated_lines(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width).select(F.col("id").alias("__ld_id"), F.col("gone").alias("__ld_gone"))
     out = docs.join(gone, docs[id_col] == F.col("__ld_id"), "left")

@@ -38,6 +38,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language ID of web pages: here the markup declares a language, and the host gives an address suffix."""
+    return langid.identify(langid.page_evidence(table(spark, sf_dir, "pages")), "page_id")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -58,7 +63,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_warc, op5_fingerprints, op6_url_filter, op7_language_id, op8_html_extraction, op9_simhash, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_warc, op5_fingerprints, op6_url_filter, op7_language_id, op8_html_extraction, op9_simhash, op10_chat_format, language_pages)}
 
 CHAT_ORACLE = r"""
 WITH c AS (

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialize, spread_join
 from .components import connected_components
 
 
@@ -62,17 +62,18 @@ def match_rules(host: Column, path: Column, rules=RULES) -> Column:
 def match_rule_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """match_rules() for a rule table (rule, host, path, verdict) of any size.
 
-    ``urls`` has (url, host, path). Each url is joined by equality with the
-    rules of its host and parent domains (one row per label), so there is no
-    pairing of all urls with all rules. Returns (url, rule, verdict), urls with
-    a fitting rule only.
+    ``urls`` has distinct (url, host, path). Each url is joined by equality
+    with the rules of its host and parent domains (one row per label), so there
+    is no pairing of all urls with all rules; a label that very many urls have
+    is spread. Returns (url, rule, verdict), urls with a fitting rule only.
     """
     labels = F.split("host", r"\.")
     up = urls.select("url", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("host"))
-    r = rules.select("rule", F.col("host").alias("host"), F.col("path").alias("rpath"), "verdict")
-    j = up.join(r, "host").where(F.startswith("path", F.col("rpath")))
-    order = F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("b"), "rule", "verdict")
-    return j.groupBy("url").agg(F.max(order).alias("m")).select("url", "m.rule", "m.verdict")
+    by_host = rules.groupBy("host").agg(F.collect_set(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("b"), "rule", "verdict", F.col("path").alias("p"))).alias("rules"))
+    seen = up.groupBy("host").agg(F.count(F.lit(1)).alias("weight"))
+    j = spread_join(up, materialize(by_host.join(seen, "host"), "uf-rules"), ["host"], "weight", F.col("url"), "inner")
+    j = j.select("url", F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["p"]))).alias("m")).where("m is not null")
+    return j.groupBy("url").agg(F.max("m").alias("m")).select("url", "m.rule", "m.verdict")
 
 
 def without_fragment(url: Column) -> Column:
@@ -137,11 +138,25 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return base.select(without_fragment(F.col("u")).alias("a"), without_fragment(full).alias("b")).where("b is not null and a <> b")
 
 
+def judged(urls: DataFrame, rules) -> DataFrame:
+    """``urls``, which has a column url, with ``m``: struct(rule, verdict) of the longest rule that fits, null without one.
+
+    ``rules`` is a sequence of UrlRule or a table for match_rule_table(). Up to
+    INLINE_RULES rules stand in the plan; more are joined.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= INLINE_RULES:
+            return urls.withColumn("m", match_rules(url_host(F.col("url")), url_path(F.col("url")), rules))
+        rules = urls.sparkSession.createDataFrame([(r.name, r.host, r.path, r.verdict) for r in rules], "rule string, host string, path string, verdict string")
+    each = urls.select("url").distinct().select("url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    hit = match_rule_table(each, rules).select(F.col("url").alias("__u"), F.struct("rule", "verdict").alias("m"))
+    return urls.join(hit, F.col("url") == F.col("__u"), "left").drop("__u")
+
+
 def class_verdicts(edges: DataFrame, rules=RULES) -> DataFrame:
     """(url, class_verdict) for every url that an alias edge names: allow if the class has an explicit allow, else block if it has a block, else null."""
     roots = connected_components(edges).toDF("url", "root")
-    m = match_rules(url_host(F.col("url")), url_path(F.col("url")), rules)
-    votes = roots.select("url", "root", m["verdict"].alias("v"))
+    votes = judged(roots, rules).select("url", "root", F.col("m.verdict").alias("v"))
     by = votes.groupBy("root").agg(F.bool_or(F.col("v") == "allow").alias("ok"), F.bool_or(F.col("v") == "block").alias("no"))
     return votes.join(by, "root").select("url", F.when(F.col("ok"), "allow").when(F.col("no"), "block").alias("class_verdict"))
 
@@ -150,7 +165,7 @@ def filter_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, d
     """Judge every row: id, host, path, rule, verdict, and ``by`` (rule, alias or default).
 
     ``edges`` (a, b) adds redirects known from a crawl to the links that the
-    pages state. Null urls and urls without :// have empty host and path, fit
+    pages state; ``rules`` is a sequence or a table of any size (see judged). Null urls and urls without :// have empty host and path, fit
     no rule and take ``default``. Rows are never dropped; repeated rows get
     equal verdicts. Urls outside all alias classes cost no shuffle beyond one
     join with the class table, which adaptive execution makes a broadcast only
@@ -159,15 +174,12 @@ def filter_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, d
     links = page_links(pages, url_col, html_col)
     if edges is not None:
         links = links.union(edges.select(without_fragment(F.col("a")).alias("a"), without_fragment(F.col("b")).alias("b")).where("a is not null and b is not null and a <> b"))
-    by_class = class_verdicts(links, rules).toDF("__uf_url", "__uf_class")
-    base = pages.select(F.col(id_col).alias("__uf_id"), F.col(url_col).alias("__uf_in"))
-    host, path = url_host(F.col("__uf_in")), url_path(F.col("__uf_in"))
-    j = base.join(by_class, without_fragment(F.col("__uf_in")) == F.col("__uf_url"), "left")
-    m = match_rules(F.col("host"), F.col("path"), rules)
-    j = j.select("__uf_id", "__uf_class", host.alias("host"), path.alias("path")).withColumn("__uf_m", m)
-    verdict = F.coalesce(F.col("__uf_m")["verdict"], "__uf_class", F.lit(default))
-    how = F.when(F.col("__uf_m").isNotNull(), "rule").when(F.col("__uf_class").isNotNull(), "alias").otherwise("default")
-    return j.select(F.col("__uf_id").alias(id_col), "host", "path", F.col("__uf_m")["rule"].alias("rule"), verdict.alias("verdict"), how.alias("by"))
+    by_class = class_verdicts(materialize(links, "uf-links"), rules).toDF("__u", "__class")  # pages are read for links once
+    base = judged(pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("url")), rules)
+    j = base.join(by_class, without_fragment(F.col("url")) == F.col("__u"), "left")
+    verdict = F.coalesce(F.col("m.verdict"), "__class", F.lit(default))
+    how = F.when(F.col("m").isNotNull(), "rule").when(F.col("__class").isNotNull(), "alias").otherwise("default")
+    return j.select(F.col("__id").alias(id_col), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), F.col("m.rule").alias("rule"), verdict.alias("verdict"), how.alias("by"))
 
 
 ORACLE = r"""

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -118,6 +119,14 @@ def test_many_sources_and_hot_cells(spark):
     assert all(abs(r["k"] - want[r["source"]]) <= r["m"] for r in mixed)
 
 
+def test_temporary_tables_go(spark):
+    with common.temporary(spark):
+        t = common.materialize(spark.range(5).toDF("x"), "gone")
+        path = t.inputFiles()[0].removeprefix("file://")
+        assert t.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_spread_join(spark):
     left = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 != 1, F.col("id") % 900).alias("k"))
     right = spark.range(800).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"), F.when(F.col("id") == 7, 1700).otherwise(1).alias("n"))
@@ -475,6 +484,44 @@ def test_language_id(spark, empty):
     assert {2000, 2001, 2002, 2003}.isdisjoint(kept) and {None, 0, 4000} <= kept
 
 
+def test_posteriors_match_brute_force(spark):
+    rng = random.Random(12)
+    make = {"en": "aeiotn", "de": "aeischu", "fr": "aeiqpl"}
+    rows = [(i, prose(rng, rng.randint(1, 30), make[lang]), (lang, "en", None)[rng.choice((0, 0, 0, 1, 2))], f"{rng.choice('abc')}.{rng.choice(('org', 'de', 'fr'))}") for i in range(120) for lang in [rng.choice(("en", "de", "fr"))]]
+    rows += [(200, "", "de", "a.de"), (201, "12 34", None, None)]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    names, blocks = langid.train(docs, "text", "lang")
+    model = np.concatenate(blocks).astype(float)
+    labels = [*names, "und"]
+    ll, best = {}, {}
+    for i, t, *_ in rows:
+        c = langid._buckets(t)
+        ll[i] = model @ c * min(langid.TEMPER, langid.TEXT_NATS / c.sum()) if c.sum() else np.zeros(len(labels))
+        best[i] = labels[int(np.argmax(ll[i]))] if c.sum() else None
+    suffix = lambda h: (h or "").rsplit(".", 1)[-1] if "." in (h or "") else ""
+    count = lambda keep: np.array([sum(best[r[0]] == x and keep(r) for r in rows) for x in labels], float)
+    base = count(lambda r: True) + 1
+    base[-1] = 0
+    base = (1 - langid.UND_PRIOR) * base / base.sum()
+    base[-1] = langid.UND_PRIOR
+    mixed = lambda own, up: (own + langid.KAPPA * up) / (own.sum() + langid.KAPPA)
+    declared = {r[2] for r in rows}
+    for i, _, lang, host in rows:
+        prior = mixed(count(lambda r: r[3] == host), mixed(count(lambda r: suffix(r[3]) == suffix(host)), base))
+        said = (count(lambda r: r[2] == lang) + langid.CONFUSED) / (count(lambda r: True) + langid.CONFUSED * len(declared))
+        lp = np.log(prior) + np.log(said) + ll[i]
+        p = np.exp(lp - lp.max())
+        assert got[i]["posterior"] == pytest.approx(p.max() / p.sum(), rel=1e-6) and got[i]["text_lang"] == best[i]
+        assert got[i]["lang"] == labels[int(np.argmax(lp))] and got[i]["accepted"] == (best[i] is not None and got[i]["lang"] != "und" and p.max() / p.sum() >= langid.ACCEPT)
+
+
+def test_page_evidence(spark):
+    rows = [(1, "http://A.Example.fr/x.html", "<!DOCTYPE html><HTML class=x lang='fr-CA'><body><article><p>un texte</article>"), (2, "no scheme", "<html><p lang=de>ein text"), (3, None, None), (4, "https://b.org", "<html xml:lang=EN>words")]
+    got = langid.page_evidence(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "fr", "a.example.fr", "un texte"), (2, None, None, "ein text"), (3, None, None, ""), (4, "en", "b.org", "words")]
+
+
 def test_every_declared_language_has_a_model(spark):
     rng = random.Random(4)
     abc = {f"l{k:03d}": "".join(chr(0x400 + 6 * k + x) for x in range(6)) for k in range(140)}

@@ -172,6 +172,21 @@ def test_page_links_resolve_every_form(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages(spark, rows)).collect()} == {1: "block", 2: "block"}
 
 
+def test_many_rules_are_joined(spark):
+    rules = [*url_filter.RULES, *[url_filter.UrlRule("block", f"h{k}.net", f"/p{k % 7}") for k in range(400)]]
+    rows = [(k, f"http://{h}{p}", "<link rel=canonical href=http://h7.net/p0x>" if k % 10 == 0 else "") for k, (h, p) in enumerate((h, p) for h in ("a.h3.net", "h3.net", "h399.net", "x.com", "example.org", "z.dev", "") for p in ("/p3/a", "/p0", "/fr/1", "/es/", "/de/"))] + [(900, None, None), (901, "no scheme", ""), (902, "http://h3.net/p3", ""), (902, "http://h3.net/p3", "")]
+    table = spark.createDataFrame([(r.name, r.host, r.path, r.verdict) for r in rules], "rule string, host string, path string, verdict string")
+    inline = url_filter.INLINE_RULES
+    try:
+        url_filter.INLINE_RULES = 1000
+        want = sorted(map(str, url_filter.filter_urls(pages(spark, rows), rules=rules).collect()))
+    finally:
+        url_filter.INLINE_RULES = inline
+    for given in (rules, table):
+        assert sorted(map(str, url_filter.filter_urls(pages(spark, rows), rules=given).collect())) == want
+    assert sum("'alias'" in x for x in want) >= 1 and sum("'rule'" in x for x in want) > 10
+
+
 def test_rule_table_agrees_with_inline_rules(spark):
     rules = spark.createDataFrame([(r.name, r.host, r.path, r.verdict) for r in url_filter.RULES], "rule string, host string, path string, verdict string")
     urls = spark.createDataFrame([(f"http://{h}{p}",) for h in ("org", "a.example.org", "b.com", "x.net", "") for p in ("", "/", "/es/1", "/en/19", "/fr/", "/de/x")], "url string").select("url", url_filter.url_host(F.col("url")).alias("host"), url_filter.url_path(F.col("url")).alias("path"))
@@ -316,3 +331,6 @@ def test_chat(spark):
     assert [(got[c]["valid"], got[c]["bad_turn"]) for c in (2, 3, 4, 5, 6)] == [(True, None), (False, 0), (False, -1), (False, 0), (False, 1)]
     assert chat.format_chats(df.where("false")).count() == 0
     assert json.dumps([got[1]["formatted"][:40]])
+    loose = spark.createDataFrame([(None, k % 3, "user", f"t{k % 50}") for k in range(100)], "conv_id long, turn long, role string, text string")
+    each = chat.format_chats(loose).select(F.size("segments").alias("n")).collect()
+    assert sum(r["n"] for r in each) == 300 and max(r["n"] for r in each) <= 6  # no conversation of all of them
