@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparksieve.llm import decontaminate, langid, line_dedup, mixing, simhash
-from sparksieve.llm.common import scratch_path, table
+from sparksieve.llm.common import drop_table, scratch_path, table, temporary
 
 #: Words in a shingle of the near-duplicate stage, and the share of common shingles that links two texts.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -57,10 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. Of the tables written, the last stage's result alone is kept."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_table(before, spark)
+        before = path
     return docs
