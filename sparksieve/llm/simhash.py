@@ -260,25 +260,28 @@ def gray_join(a: GrayTree, b: GrayTree | None, max_bits: int, link) -> None:
             todo += [(i, left2), (i, right2)]
 
 
-def _forest(values: np.ndarray, sides: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of rows, of the near pairs within one block, or across two (with those within them left to their own tasks)."""
-    uf, out = _Union(len(values)), []
-
-    def link(i, j) -> None:
-        if uf.join(i, j):
-            out.append((i, j))
+def _stars(keys: np.ndarray, values: np.ndarray, sides: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """(least key, key) for the members of each component of the near pairs within one block, or across two (with those within them left to their own tasks).
 
+    Naming a component by its least key lets the nodes that a group of copies
+    shares give the same links, which are then one.
+    """
+    uf = _Union(len(values))
     rows = np.arange(len(values))
     if sides.any():
         if not sides.all():
             first = sides == 0
-            gray_join(GrayTree(values[first], rows[first]), GrayTree(values[~first], rows[~first]), max_bits, link)
+            gray_join(GrayTree(values[first], rows[first]), GrayTree(values[~first], rows[~first]), max_bits, uf.join)
     elif len(values) <= 64:
         for x, y in zip(*np.nonzero(np.triu(_pop(values[:, None] ^ values[None, :]) <= max_bits, 1))):
-            link(int(x), int(y))
+            uf.join(int(x), int(y))
     else:
-        gray_join(GrayTree(values, rows), None, max_bits, link)
-    return out
+        gray_join(GrayTree(values, rows), None, max_bits, uf.join)
+    named, of = keys.tolist(), [uf.find(i) for i in range(len(values))]
+    least: dict[int, int] = {}
+    for i, c in enumerate(of):
+        least[c] = min(least.get(c, named[i]), named[i])
+    return [(least[c], named[i]) for i, c in enumerate(of) if least[c] != named[i]]
 
 
 def _join_nodes(max_bits: int, words: int):
@@ -290,12 +293,12 @@ def _join_nodes(max_bits: int, words: int):
         # Most nodes with company have two members: those are compared at once.
         two = starts[ends - starts == 2]
         two = two[(_pop(values[two] ^ values[two + 1]) <= max_bits) & ((sides[two] == 0) | (sides[two] != sides[two + 1]))]
-        found = [np.stack([keys[two], keys[two + 1]], axis=1)]
+        found = [np.sort(np.stack([keys[two], keys[two + 1]], axis=1), axis=1)]
         for k in np.flatnonzero(ends - starts > 2):
             at = slice(starts[k], ends[k])
-            pairs = _forest(values[at], sides[at], max_bits)
+            pairs = _stars(keys[at], values[at], sides[at], max_bits)
             if pairs:
-                found.append(keys[at][np.array(pairs)])
+                found.append(np.array(pairs, np.int64))
         got = np.concatenate(found)
         return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
