@@ -43,6 +43,8 @@ SHARED = 2
 SHINGLE = 3
 #: Share of the pairs at similarity 0.8 that no wide mask joins, and the differing bits of 128 up to which a pair is proposed.
 MISSED, WIDE_RADIUS = 0.05, 28
+#: Wide masks that are tried first, so that the others find large groups joined.
+SEEDS = 4
 #: Members of an index node that one task works on together; larger nodes are dealt out in pairs of blocks.
 BLOCK = 4096
 #: Texts of a candidate component that one task compares by their shingle sets; larger ones are dealt out in pairs of groups.
@@ -260,43 +262,48 @@ def gray_join(a: GrayTree, b: GrayTree | None, max_bits: int, link) -> None:
             todo += [(i, left2), (i, right2)]
 
 
-def _stars(keys: np.ndarray, values: np.ndarray, sides: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """(least key, key) for the members of each component of the near pairs within one block, or across two (with those within them left to their own tasks).
+def _stars(roots: np.ndarray, values: np.ndarray, sides: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """(least root, root) for the roots that near pairs join within one block, or across two (with those within them left to their own tasks).
 
-    Naming a component by its least key lets the nodes that a group of copies
-    shares give the same links, which are then one.
+    Rows of one root count as joined. Naming a component by its least root lets
+    the nodes that a group of copies shares give the same links.
     """
-    uf = _Union(len(values))
+    uf, first = _Union(len(values)), {}
+    named = roots.tolist()
+    for i, r in enumerate(named):
+        uf.join(i, first.setdefault(r, i))
+    if len(first) == 1:
+        return []
     rows = np.arange(len(values))
     if sides.any():
         if not sides.all():
-            first = sides == 0
-            gray_join(GrayTree(values[first], rows[first]), GrayTree(values[~first], rows[~first]), max_bits, uf.join)
+            one = sides == 0
+            gray_join(GrayTree(values[one], rows[one]), GrayTree(values[~one], rows[~one]), max_bits, uf.join)
     elif len(values) <= 64:
         for x, y in zip(*np.nonzero(np.triu(_pop(values[:, None] ^ values[None, :]) <= max_bits, 1))):
             uf.join(int(x), int(y))
     else:
         gray_join(GrayTree(values, rows), None, max_bits, uf.join)
-    named, of = keys.tolist(), [uf.find(i) for i in range(len(values))]
     least: dict[int, int] = {}
-    for i, c in enumerate(of):
-        least[c] = min(least.get(c, named[i]), named[i])
-    return [(least[c], named[i]) for i, c in enumerate(of) if least[c] != named[i]]
+    for r, i in first.items():
+        c = uf.find(i)
+        least[c] = min(least.get(c, r), r)
+    return [(least[uf.find(i)], r) for r, i in first.items() if least[uf.find(i)] != r]
 
 
-def _join_nodes(max_bits: int, words: int):
-    """Links of keys within runs of equal (node, unit); rows are sorted by it, a run is at most two blocks."""
+def _join_nodes(max_bits: int):
+    """Links of roots within runs of equal (node, unit); rows are sorted by it, a run is at most two blocks."""
 
-    def work(nodes, keys, values, sides):
+    def work(nodes, roots, values, sides):
         cut = np.flatnonzero((nodes[1:] != nodes[:-1]).any(axis=1)) + 1
-        starts, ends = np.r_[0, cut], np.r_[cut, len(keys)]
+        starts, ends = np.r_[0, cut], np.r_[cut, len(roots)]
         # Most nodes with company have two members: those are compared at once.
         two = starts[ends - starts == 2]
-        two = two[(_pop(values[two] ^ values[two + 1]) <= max_bits) & ((sides[two] == 0) | (sides[two] != sides[two + 1]))]
-        found = [np.sort(np.stack([keys[two], keys[two + 1]], axis=1), axis=1)]
+        two = two[(roots[two] != roots[two + 1]) & (_pop(values[two] ^ values[two + 1]) <= max_bits) & ((sides[two] == 0) | (sides[two] != sides[two + 1]))]
+        found = [np.sort(np.stack([roots[two], roots[two + 1]], axis=1), axis=1)]
         for k in np.flatnonzero(ends - starts > 2):
             at = slice(starts[k], ends[k])
-            pairs = _stars(keys[at], values[at], sides[at], max_bits)
+            pairs = _stars(roots[at], values[at], sides[at], max_bits)
             if pairs:
                 found.append(np.array(pairs, np.int64))
         got = np.concatenate(found)
@@ -320,41 +327,60 @@ def _join_nodes(max_bits: int, words: int):
 
 
 def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, masks: list[tuple[int, ...]] | None = None) -> DataFrame:
-    """(a, b): links of keys; their components are those of all pairs at max_bits or fewer differing bits that agree on one of ``masks``.
+    """(a, b): links of roots; their components are those of all pairs at max_bits or fewer differing bits that agree on one of ``masks``.
 
-    ``nodes`` is a table of (key, a word of the fingerprint or more), keys
-    distinct longs. The masks default to block_masks(), which lose no pair.
-    Index nodes of more than ``block`` members are dealt out as all pairs of
-    their blocks, so no task holds more than two blocks, and no link is lost.
+    ``nodes`` is a table of (root, a word of the fingerprint or more); root is
+    a long that names the row, or the rows that are known to be joined already.
+    The masks default to block_masks(), which lose no pair. Index nodes of more
+    than ``block`` members are dealt out as all pairs of their blocks, so no
+    task holds more than two blocks, and no link is lost.
     """
     spark = nodes.sparkSession
     words = nodes.columns[1:]
     masks = block_masks(max_bits) if masks is None else masks
     every = F.array(*[F.array(F.lit(k).cast("long"), *[F.lit(_signed(x)).cast("long") for x in m]) for k, m in enumerate(masks)])
     # Nodes go by a hash of mask and pattern: nodes that it may merge are compared in vain, and nothing else.
-    index = nodes.select("key", *words, F.explode(every).alias("m"))
-    index = index.select("key", *words, F.xxhash64(F.col("m")[0], *[F.col(w).bitwiseAND(F.col("m")[i + 1]) for i, w in enumerate(words)]).alias("n"))
+    index = nodes.select("root", *words, F.explode(every).alias("m"))
+    index = index.select("root", *words, F.xxhash64(F.col("m")[0], *[F.col(w).bitwiseAND(F.col("m")[i + 1]) for i, w in enumerate(words)]).alias("n"))
     hot = index.groupBy("n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block)
     hot = materialize(hot.select("n", F.ceil(F.col("c") / block).cast("int").alias("w")), "sh-hot")
     if hot.isEmpty():
-        units = index.select("n", F.lit(0).cast("long").alias("u"), "key", F.lit(0).alias("side"), *words)
+        units = index.select("n", F.lit(0).cast("long").alias("u"), "root", F.lit(0).alias("side"), *words)
     else:
         j = index.join(hot, "n", "left").withColumn("w", F.coalesce("w", F.lit(1)))
-        at = F.pmod(F.xxhash64("key"), F.col("w")).cast("int")
+        at = F.pmod(F.xxhash64(*words), F.col("w")).cast("int")
         other = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda k: F.struct((F.least(at, k).cast("long") * F.col("w") + F.greatest(at, k)).alias("u"), F.when(at <= k, 0).otherwise(1).alias("side")))
-        units = j.select("n", "key", *words, F.explode(other).alias("x")).select("n", F.col("x.u").alias("u"), "key", F.col("x.side").alias("side"), *words)
+        units = j.select("n", "root", *words, F.explode(other).alias("x")).select("n", F.col("x.u").alias("u"), "root", F.col("x.side").alias("side"), *words)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     units = units.repartition("n", "u").sortWithinPartitions("n", "u")
     was = spark.conf.get(key)
     try:
         spark.conf.set(key, "20000")
-        links = materialize(units.mapInArrow(_join_nodes(max_bits, len(words)), "a long, b long").distinct(), "sh-links")
+        links = materialize(units.mapInArrow(_join_nodes(max_bits), "a long, b long").distinct(), "sh-links")
     finally:
         spark.conf.set(key, was)
     drop_table(hot, spark)
     return links
 
 
+def candidate_roots(nodes: DataFrame, max_bits: int, block: int) -> DataFrame:
+    """(key, root) of the nodes (key, fp, fp2), a table, that have company; a root names a component.
+
+    The first few masks already join most of a large group of copies; the
+    others then compare and link roots alone, so links grow with the group and
+    not with the number of masks.
+    """
+    masks = wide_masks(nodes.count())
+    parts = [masks[:SEEDS], masks[SEEDS:]]
+    named = nodes.select("key", F.col("key").alias("root"), "fp", "fp2")
+    for part in parts:
+        roots = connected_components(near_links(named.select("root", "fp", "fp2"), max_bits, block, part)).toDF("node", "top")
+        named = named.join(roots, named["root"] == roots["node"], "left").select("key", F.coalesce("top", "root").alias("root"), "fp", "fp2")
+        named = materialize(named, "sh-named")
+    many = named.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return named.join(many, F.col("root") == F.col("r")).select("key", "root")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK, shared: int = SHARED) -> DataFrame:
     """(id_col, fingerprint, component_id): one row per input row.
 
@@ -367,7 +393,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "sh-fps")
     distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "sh-distinct")
-    links = near_links(distinct.select(F.col("fp").alias("key"), "fp"), max_bits, block, block_masks(max_bits, shared))
+    links = near_links(distinct.select(F.col("fp").alias("root"), "fp"), max_bits, block, block_masks(max_bits, shared))
     roots = connected_components(links)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -457,7 +483,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("key")).alias("x"), text.alias("text"))
     fps = materialize(fingerprints(src, "x", "text", shingle, wide=True).select("id.id", "id.key", "fp", "fp2"), "sh-fps")
     nodes = materialize(fps.groupBy("key", "fp", "fp2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "sh-nodes")
-    roots = connected_components(near_links(nodes.select("key", "fp", "fp2"), max_bits, block, wide_masks(nodes.count())))
+    roots = materialize(candidate_roots(nodes, max_bits, block), "sh-roots").toDF("node", "root")
     many = roots.groupBy(F.col("root").alias("r")).agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("w"))
     members = roots.join(many, F.col("root") == F.col("r")).join(nodes, F.col("node") == F.col("key")).select("root", "key", "fp", "fp2", "w", "n")
     members = materialize(members, "sh-members")

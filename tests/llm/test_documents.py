@@ -427,7 +427,7 @@ def test_gray_join_and_blocks_lose_nothing(spark):
     for f, c in slow_components(fps).items():
         want.setdefault(c, set()).add(f)
     signed = lambda f: f - (1 << 64) if f >> 63 else f
-    df = spark.createDataFrame([(signed(f), signed(f)) for f in fps], "key long, fp long")
+    df = spark.createDataFrame([(signed(f), signed(f)) for f in fps], "root long, fp long")
     for block, shared in ((4096, 2), (16, 2), (4096, 3)):
         roots = connected_components(simhash.near_links(df, block=block, masks=simhash.block_masks(3, shared))).collect()
         got = {}
@@ -437,7 +437,7 @@ def test_gray_join_and_blocks_lose_nothing(spark):
     # 128 bits, some equal, in one node, in one block and in many
     wide = [rng.getrandbits(128) for _ in range(20)]
     wide += [w ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 9))) for w in wide for _ in range(12)]
-    df = spark.createDataFrame([(k, signed(w & ((1 << 64) - 1)), signed(w >> 64)) for k, w in enumerate(wide)], "key long, fp long, fp2 long")
+    df = spark.createDataFrame([(k, signed(w & ((1 << 64) - 1)), signed(w >> 64)) for k, w in enumerate(wide)], "root long, fp long, fp2 long")
     up = list(range(len(wide)))
 
     def find(x):
