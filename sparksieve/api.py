@@ -21,7 +21,7 @@ def register_functions(spark: SparkSession) -> None:
     """SQL functions: scan_findings(text) as a table function, mask_text(text, threshold), and the checksums as check_<name>."""
     from pyspark.sql.functions import udtf
 
-    from .functions.checks import CHECKS, check_sql
+    from .functions.checks import CHECKS, check_any
 
     @udtf(returnType="rule_id string, category string, severity string, off int, `end` int")
     class ScanFindings:
@@ -50,4 +50,4 @@ def register_functions(spark: SparkSession) -> None:
     spark.udtf.register("scan_findings", ScanFindings)
     spark.udf.register("mask_text", mask_text)
     for name in CHECKS:
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION check_{name}(x STRING) RETURNS BOOLEAN RETURN {check_sql(name, 'x')}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION check_{name}(x STRING) RETURNS BOOLEAN RETURN {check_any(name, 'x')}")

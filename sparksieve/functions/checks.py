@@ -1,170 +1,207 @@
-"""Checksums of identifiers as scalar SQL.
+"""Checksums of identifiers as Spark SQL over numbers.
 
-Every function returns an expression in the common subset of Spark SQL and
-DuckDB over a text ``x``; there are no lambdas, so Spark compiles them. Digits
-are read by ``ascii(...) - 48``, which never fails, behind a guard on length
-and shape.
+A candidate's digits are read once, as two numbers of ten digits each; every
+digit that a check weighs is then a division and a remainder. So a check is a
+short piece of integer arithmetic that Spark compiles, whatever the identifier.
 """
 
 from __future__ import annotations
 
-SPARK, DUCKDB = "spark", "duckdb"
+import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-def strip(x: str, keep: str, dialect: str) -> str:
-    """``x`` without characters outside the class ``keep``."""
-    return f"regexp_replace({x}, '[^{keep}]', ''" + (", 'g')" if dialect == DUCKDB else ")")
+#: Columns that the checks read: the candidate, its digits alone, and the numbers in their last ten and the ten before.
+RAW, DIGITS, HIGH, LOW = "raw", "digits", "digits_high", "digits_low"
 
 
-def matches(x: str, pattern: str, dialect: str) -> str:
-    return f"regexp_matches({x}, '{pattern}')" if dialect == DUCKDB else f"({x} rlike '{pattern}')"
+def numbers(digits: Column, suffix: str = "") -> dict[str, Column]:
+    """The columns HIGH and LOW of up to 20 digits; more are cut and pass no check's length."""
+    padded = F.lpad(digits, 20, "0")
+    return {HIGH + suffix: F.substring(padded, 1, 10).cast("bigint"), LOW + suffix: F.substring(padded, 11, 10).cast("bigint")}
 
 
-def _d(x: str, i: int) -> str:
-    return f"(ascii(substr({x}, {i + 1}, 1)) - 48)"
+class Number:
+    """SQL for the digits of a number of n digits, counted from the left."""
 
+    def __init__(self, n: int, low: str = LOW, high: str = HIGH) -> None:
+        self.n, self.low, self.high = n, low, high
 
-def _n(x: str, at: int, n: int) -> str:
-    """The number in n digits from 0-based ``at``."""
-    return "(" + " + ".join(f"{_d(x, at + k)} * {10 ** (n - 1 - k)}" for k in range(n)) + ")"
+    def part(self, at: int, size: int) -> str:
+        """The number in ``size`` digits from ``at``."""
+        right = self.n - at - size
+        if right >= 10:
+            return f"(({self.high} div {10 ** (right - 10)}) % {10**size})"
+        if right + size <= 10:
+            return f"(({self.low} div {10**right}) % {10**size})" if right else f"({self.low} % {10**size})"
+        over = right + size - 10
+        return f"(({self.high} % {10**over}) * {10 ** (10 - right)} + {self.low} div {10**right})"
 
+    def __getitem__(self, i: int) -> str:
+        return self.part(i, 1)
 
-def _sum(x: str, weights, at: int = 0) -> str:
-    return "(" + " + ".join(f"{_d(x, at + k)} * {w}" for k, w in enumerate(weights)) + ")"
+    def sum(self, weights, at: int = 0) -> str:
+        return "(" + " + ".join(f"{self[at + k]} * {w}" if w != 1 else self[at + k] for k, w in enumerate(weights) if w) + ")"
 
 
-def _doubled(d: str) -> str:
-    """Twice a digit, nine less above nine."""
-    return f"(2 * {d} - CASE WHEN {d} > 4 THEN 9 ELSE 0 END)"
+def _packed(values) -> int:
+    """Ten small numbers in four bits each."""
+    return sum(v << 4 * k for k, v in enumerate(values))
 
 
-def _luhn(x: str, n: int) -> str:
-    """Luhn over exactly n digits."""
-    return "((" + " + ".join(_doubled(_d(x, i)) if i % 2 == n % 2 else _d(x, i) for i in range(n)) + ") % 10 = 0)"
+def _looked_up(table: str, d: str) -> str:
+    return f"(shiftright({table}, cast(4 * {d} AS int)) & 15)"
 
 
-def _same(x: str) -> str:
-    return f"(replace({x}, substr({x}, 1, 1), '') = '')"
+#: Twice a digit, nine less above nine.
+_TWICE = f"{_packed([0, 2, 4, 6, 8, 1, 3, 5, 7, 9])}L"
 
 
-def _check10(total: str) -> str:
-    return f"((10 - {total} % 10) % 10)"
+def _luhn(x: Number, at: int = 0, extra: int = 0) -> str:
+    """Luhn over the digits from ``at`` to the last, plus a constant for digits in front."""
+    terms = [_looked_up(_TWICE, x[i]) if (x.n - i) % 2 == 0 else x[i] for i in range(at, x.n)]
+    return f"(({' + '.join(terms)} + {extra}) % 10 = 0)"
 
 
 def _all(*terms: str) -> str:
     return "(" + " AND ".join(terms) + ")"
 
 
-def luhn(x: str, dialect: str) -> str:
-    """13 to 19 digits, Luhn sum 0; x is digits alone."""
-    return f"CASE WHEN length({x}) BETWEEN 13 AND 19 THEN {_luhn(f'lpad({x}, 20, chr(48))', 20)} ELSE false END"
+def _length(*n: int) -> str:
+    return f"length({DIGITS}) = {n[0]}" if len(n) == 1 else f"length({DIGITS}) BETWEEN {n[0]} AND {n[1]}"
 
 
-def card(x: str, dialect: str) -> str:
-    """Luhn, and not 14 digits that read as year, month, day, hour, minute and second; x is digits alone."""
-    stamp = _all(f"{_n(x, 0, 4)} BETWEEN 1900 AND 2099", f"{_n(x, 4, 2)} BETWEEN 1 AND 12", f"{_n(x, 6, 2)} BETWEEN 1 AND 31", f"{_n(x, 8, 2)} <= 23", f"{_n(x, 10, 2)} <= 59", f"{_n(x, 12, 2)} <= 59")
-    return f"CASE WHEN length({x}) = 14 AND {stamp} THEN false ELSE {luhn(x, dialect)} END"
+def _rest(total: str, m: int = 10) -> str:
+    """What is missing to the next multiple of m."""
+    return f"(({m} - {total} % {m}) % {m})"
 
 
-def iban(x: str, dialect: str) -> str:
-    """5 to 34 characters of A-Z and 0-9 after blanks and tabs go; the first four moved last, letters as 10..35, 1 modulo 97."""
-    s = f"replace(replace({x}, ' ', ''), chr(9), '')"
-    turned = f"concat(substr({s}, 5), substr({s}, 1, 4))"
+def luhn() -> str:
+    return _all(_length(13, 19), _luhn(Number(20)))
+
+
+def card() -> str:
+    """Luhn, and not 14 digits that read as a date and time."""
+    x = Number(14)
+    stamp = _all(_length(14), f"{x.part(0, 4)} BETWEEN 1900 AND 2099", f"{x.part(4, 2)} BETWEEN 1 AND 12", f"{x.part(6, 2)} BETWEEN 1 AND 31", f"{x.part(8, 2)} <= 23", f"{x.part(10, 2)} <= 59", f"{x.part(12, 2)} <= 59")
+    return _all(luhn(), f"NOT {stamp}")
+
+
+def iban() -> str:
+    """5 to 34 characters of A-Z and 0-9 besides blanks and tabs; the first four moved last, letters as 10..35, 1 modulo 97."""
+    s = f"replace(replace({RAW}, ' ', ''), chr(9), '')"
     value = "CASE WHEN c < ':' THEN ascii(c) - 48 ELSE ascii(c) - 55 END"
     step = "CASE WHEN b < 10 THEN (a * 10 + b) % 97 ELSE (a * 100 + b) % 97 END"
-    if dialect == DUCKDB:
-        mod = f"list_reduce(list_prepend(0, list_transform(string_split({turned}, ''), lambda c: {value})), lambda a, b: {step})"
-    else:
-        mod = f"aggregate(transform(split({turned}, ''), c -> {value}), 0, (a, b) -> {step})"
-    return f"CASE WHEN length({s}) BETWEEN 5 AND 34 AND {matches(s, '^[A-Z0-9]+$', dialect)} THEN {mod} = 1 ELSE false END"
+    mod = f"aggregate(transform(split(concat(substr(t, 5), substr(t, 1, 4)), ''), c -> {value}), 0, (a, b) -> {step})"
+    return f"exists(array({s}), t -> CASE WHEN length(t) BETWEEN 5 AND 34 AND t rlike '^[A-Z0-9]+$' THEN {mod} = 1 ELSE false END)"
 
 
-def ch_ahv(x: str, dialect: str) -> str:
-    return _all(f"length({x}) = 13", f"substr({x}, 1, 3) = '756'", f"{_check10(_sum(x, (1, 3) * 6))} = {_d(x, 12)}")
+def ch_ahv() -> str:
+    x = Number(13)
+    return _all(_length(13), f"{x.part(0, 3)} = 756", f"{_rest(x.sum((1, 3) * 6))} = {x[12]}")
 
 
-def ch_uid(x: str, dialect: str) -> str:
-    c = f"(11 - {_sum(x, (5, 4, 3, 2, 7, 6, 5, 4))} % 11)"
-    return _all(f"length({x}) = 9", f"{c} <> 10", f"{c} % 11 = {_d(x, 8)}")
+def _modulo_11(x: Number, weights) -> str:
+    """The last digit is 11 less the weighted sum's rest; a check number of ten is none."""
+    c = f"(11 - {x.sum(weights)} % 11)"
+    return _all(f"{c} <> 10", f"{c} % 11 = {x[x.n - 1]}")
 
 
-def us_aba(x: str, dialect: str) -> str:
-    return _all(f"length({x}) = 9", f"substr({x}, 1, 1) NOT IN ('4', '5', '9')", f"NOT {_same(x)}", f"{_sum(x, (3, 7, 1) * 3)} % 10 = 0")
+def ch_uid() -> str:
+    return _all(_length(9), _modulo_11(Number(9), (5, 4, 3, 2, 7, 6, 5, 4)))
 
 
-def us_ssn(x: str, dialect: str) -> str:
-    return _all(f"length({x}) = 9", f"NOT {_same(x)}", f"substr({x}, 1, 3) NOT IN ('000', '666')", f"substr({x}, 1, 1) <> '9'", f"substr({x}, 4, 2) <> '00'", f"substr({x}, 6, 4) <> '0000'", f"{x} NOT IN ('123456789', '987654320', '078051120', '219099999')")
+def us_aba() -> str:
+    x = Number(9)
+    return _all(_length(9), f"{x[0]} NOT IN (4, 5, 9)", f"{LOW} % 111111111 <> 0", f"{x.sum((3, 7, 1) * 3)} % 10 = 0")
 
 
-def us_itin(x: str, dialect: str) -> str:
-    g = _n(x, 3, 2)
-    return _all(f"length({x}) = 9", f"substr({x}, 1, 1) = '9'", f"({g} BETWEEN 50 AND 65 OR {g} BETWEEN 70 AND 88 OR {g} BETWEEN 90 AND 92 OR {g} BETWEEN 94 AND 99)", f"substr({x}, 6, 4) <> '0000'")
+def us_ssn() -> str:
+    x = Number(9)
+    return _all(_length(9), f"{LOW} % 111111111 <> 0", f"{x.part(0, 3)} NOT IN (0, 666)", f"{x[0]} <> 9", f"{x.part(3, 2)} <> 0", f"{x.part(5, 4)} <> 0", f"{LOW} NOT IN (123456789, 987654320, 78051120, 219099999)")
 
 
-def us_npi(x: str, dialect: str) -> str:
-    return _all(f"length({x}) = 10", f"NOT {_same(f'substr({x}, 1, 9)')}", _luhn(f"concat('80840', {x})", 15))
+def us_itin() -> str:
+    x = Number(9)
+    g = x.part(3, 2)
+    return _all(_length(9), f"{x[0]} = 9", f"({g} BETWEEN 50 AND 65 OR {g} BETWEEN 70 AND 88 OR {g} BETWEEN 90 AND 92 OR {g} BETWEEN 94 AND 99)", f"{x.part(5, 4)} <> 0")
 
 
-def ca_sin(x: str, dialect: str) -> str:
-    return _all(f"length({x}) = 9", f"substr({x}, 1, 1) NOT IN ('0', '8')", f"NOT {_same(x)}", _luhn(x, 9))
+def us_npi() -> str:
+    """Luhn behind the prefix 80840, whose digits add 24."""
+    x = Number(10)
+    return _all(_length(10), f"{x.part(0, 9)} % 111111111 <> 0", _luhn(x, extra=24))
 
 
-def au_tfn(x: str, dialect: str) -> str:
-    return _all(f"length({x}) = 9", f"{_sum(x, (1, 4, 3, 7, 5, 8, 6, 9, 10))} % 11 = 0")
+def ca_sin() -> str:
+    x = Number(9)
+    return _all(_length(9), f"{x[0]} NOT IN (0, 8)", f"{LOW} % 111111111 <> 0", _luhn(x))
 
 
-def au_acn(x: str, dialect: str) -> str:
-    return _all(f"length({x}) = 9", f"{_check10(_sum(x, range(8, 0, -1)))} = {_d(x, 8)}")
+def au_tfn() -> str:
+    return _all(_length(9), f"{Number(9).sum((1, 4, 3, 7, 5, 8, 6, 9, 10))} % 11 = 0")
 
 
-def au_abn(x: str, dialect: str) -> str:
-    first = f"(({_d(x, 0)} + 9) % 10) * 10"
-    return _all(f"length({x}) = 11", f"({first} + {_sum(x, (1, 3, 5, 7, 9, 11, 13, 15, 17, 19), 1)}) % 89 = 0")
+def au_acn() -> str:
+    x = Number(9)
+    return _all(_length(9), f"{_rest(x.sum(range(8, 0, -1)))} = {x[8]}")
 
 
-def au_medicare(x: str, dialect: str) -> str:
-    return _all(f"length({x}) = 10", f"{_d(x, 0)} BETWEEN 2 AND 6", f"{_sum(x, (1, 3, 7, 9, 1, 3, 7, 9))} % 10 = {_d(x, 8)}")
+def au_abn() -> str:
+    """The first digit counts one less, a zero as nine."""
+    x = Number(11)
+    return _all(_length(11), f"((({x[0]} + 9) % 10) * 10 + {x.sum((1, 3, 5, 7, 9, 11, 13, 15, 17, 19), 1)}) % 89 = 0")
 
 
-def uk_nhs(x: str, dialect: str) -> str:
-    c = f"(11 - {_sum(x, range(10, 1, -1))} % 11)"
-    return _all(f"length({x}) = 10", f"NOT {_same(x)}", f"{c} <> 10", f"{c} % 11 = {_d(x, 9)}")
+def au_medicare() -> str:
+    x = Number(10)
+    return _all(_length(10), f"{x[0]} BETWEEN 2 AND 6", f"{x.sum((1, 3, 7, 9, 1, 3, 7, 9))} % 10 = {x[8]}")
 
 
-def pl_pesel(x: str, dialect: str) -> str:
-    m, d = _n(x, 2, 2), _n(x, 4, 2)
+def uk_nhs() -> str:
+    return _all(_length(10), f"{LOW} % 1111111111 <> 0", _modulo_11(Number(10), range(10, 1, -1)))
+
+
+def pl_pesel() -> str:
+    """The month tells the century by steps of 20."""
+    x = Number(11)
+    m, d = x.part(2, 2), x.part(4, 2)
     month = f"(({m} - 1) % 20 + 1)"
-    ok = f"({m} BETWEEN 1 AND 12 OR {m} BETWEEN 21 AND 32 OR {m} BETWEEN 41 AND 52 OR {m} BETWEEN 61 AND 72 OR {m} BETWEEN 81 AND 92)"
     most = f"CASE WHEN {month} IN (4, 6, 9, 11) THEN 30 WHEN {month} = 2 THEN 29 ELSE 31 END"
-    return _all(f"length({x}) = 11", ok, f"{d} BETWEEN 1 AND {most}", f"{_check10(_sum(x, (1, 3, 7, 9, 1, 3, 7, 9, 1, 3)))} = {_d(x, 10)}")
+    return _all(_length(11), f"{m} BETWEEN 1 AND 92", f"{month} <= 12", f"{d} BETWEEN 1 AND {most}", f"{_rest(x.sum((1, 3, 7, 9, 1, 3, 7, 9, 1, 3)))} = {x[10]}")
 
 
-def kr_rrn(x: str, dialect: str) -> str:
-    return _all(f"length({x}) = 13", f"{_n(x, 2, 2)} BETWEEN 1 AND 12", f"{_n(x, 4, 2)} BETWEEN 1 AND 31", f"{_d(x, 6)} BETWEEN 1 AND 4", f"((11 - {_sum(x, (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5))} % 11) % 10) = {_d(x, 12)}")
+def kr_rrn() -> str:
+    x = Number(13)
+    return _all(_length(13), f"{x.part(2, 2)} BETWEEN 1 AND 12", f"{x.part(4, 2)} BETWEEN 1 AND 31", f"{x[6]} BETWEEN 1 AND 4", f"((11 - {x.sum((2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5))} % 11) % 10) = {x[12]}")
 
 
-def tr_tckn(x: str, dialect: str) -> str:
-    odd, even = _sum(x, (1, 0, 1, 0, 1, 0, 1, 0, 1)), _sum(x, (0, 1, 0, 1, 0, 1, 0, 1))
-    return _all(f"length({x}) = 11", f"{_d(x, 0)} <> 0", f"({odd} * 7 - {even}) % 10 = {_d(x, 9)}", f"{_sum(x, (1,) * 10)} % 10 = {_d(x, 10)}")
+def tr_tckn() -> str:
+    """A weighted sum below zero has a rest below zero and fits no digit."""
+    x = Number(11)
+    return _all(_length(11), f"{x[0]} <> 0", f"{x.sum((7, -1) * 4 + (7,))} % 10 = {x[9]}", f"{x.sum((1,) * 10)} % 10 = {x[10]}")
 
 
-def th_tnin(x: str, dialect: str) -> str:
-    r = f"({_sum(x, range(13, 1, -1))} % 11)"
-    return _all(f"length({x}) = 13", f"{_d(x, 0)} <> 0", f"(CASE WHEN {r} <= 1 THEN 1 ELSE 11 END) - {r} = {_d(x, 12)}")
+def th_tnin() -> str:
+    x = Number(13)
+    return _all(_length(13), f"{x[0]} <> 0", f"((11 - {x.sum(range(13, 1, -1))} % 11) % 10) = {x[12]}")
 
 
-def it_vat(x: str, dialect: str) -> str:
-    total = "(" + " + ".join(_doubled(_d(x, i)) if i % 2 else _d(x, i) for i in range(10)) + ")"
-    return _all(f"length({x}) = 11", f"{x} <> '00000000000'", f"{_check10(total)} = {_d(x, 10)}")
+def it_vat() -> str:
+    """Luhn over eleven digits."""
+    return _all(_length(11), f"{HIGH} + {LOW} > 0", _luhn(Number(11)))
 
 
-def de_tax(x: str, dialect: str) -> str:
+def de_tax() -> str:
     """No leading zero, no digit more than three times in the first ten, ISO 7064 modulo 11,10."""
+    x = Number(11)
     p = "10"
     for i in range(10):
-        p = f"((2 * (({_d(x, i)} + {p} + 9) % 10 + 1)) % 11)"
-    few = _all(*[f"10 - length(replace(substr({x}, 1, 10), '{k}', '')) <= 3" for k in range(10)])
-    return _all(f"length({x}) = 11", f"{_d(x, 0)} <> 0", few, f"((11 - {p}) % 10) = {_d(x, 10)}")
+        p = f"((2 * (({x[i]} + {p} + 9) % 10 + 1)) % 11)"
+    # Counts of the ten digits in four bits each; four and more show in the top bit once four is added to each.
+    counts = " + ".join(f"shiftleft(1L, cast(4 * {x[i]} AS int))" for i in range(10))
+    return _all(_length(11), f"{x[0]} <> 0", f"(({counts} + {_packed([4] * 10)}L) & {_packed([8] * 10)}L) = 0", f"((11 - {p}) % 10) = {x[10]}")
 
 
 def _dihedral(a: int, b: int) -> int:
@@ -177,73 +214,90 @@ def _dihedral(a: int, b: int) -> int:
 _VERHOEFF_STEP = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
 
 
-def _verhoeff_tables() -> tuple[str, str]:
-    rows = [list(range(10))]
-    for _ in range(7):
-        rows.append([rows[-1][k] for k in _VERHOEFF_STEP])
-    return "".join(str(_dihedral(a, b)) for a in range(10) for b in range(10)), "".join(str(k) for row in rows for k in row)
+def in_aadhaar() -> str:
+    """Verhoeff's scheme: products in the pentagon's group, the digits permuted by their position from the right."""
+    x = Number(12)
+    rows = "array(" + ", ".join(f"{_packed([_dihedral(a, b) for b in range(10)])}L" for a in range(10)) + ")"
+    power, c = list(range(10)), "0"
+    for i in range(12):
+        p = _looked_up(f"{_packed(power)}L", x[11 - i])
+        c = _looked_up(f"get({rows}, cast({c} AS int))", p)
+        power = [power[k] for k in _VERHOEFF_STEP] if i % 8 < 7 else list(range(10))
+    return _all(_length(12), f"{x[0]} >= 2", f"reverse({DIGITS}) <> {DIGITS}", f"{c} = 0")
 
 
-_VERHOEFF_D, _VERHOEFF_P = _verhoeff_tables()
+def se_personnummer() -> str:
+    """The last ten of ten or twelve digits; a day above 60 marks a coordination number."""
+    x = Number(10)
+    day = x.part(4, 2)
+    return _all(f"length({DIGITS}) IN (10, 12)", f"{x.part(2, 2)} BETWEEN 1 AND 12", f"({day} BETWEEN 1 AND 31 OR {day} BETWEEN 61 AND 91)", _luhn(x))
 
 
-def in_aadhaar(x: str, dialect: str) -> str:
-    c = "0"
-    for i in range(12):
-        p = f"(ascii(substr('{_VERHOEFF_P}', {i % 8 * 10 + 1} + {_d(x, 11 - i)}, 1)) - 48)"
-        c = f"(ascii(substr('{_VERHOEFF_D}', {c} * 10 + {p} + 1, 1)) - 48)"
-    return _all(f"length({x}) = 12", f"{_d(x, 0)} >= 2", f"reverse({x}) <> {x}", f"{c} = 0")
+def se_orgnummer() -> str:
+    x = Number(10)
+    return _all(_length(10), f"{x[2]} >= 2", _luhn(x))
 
 
-def se_personnummer(x: str, dialect: str) -> str:
-    t = f"substr({x}, length({x}) - 9, 10)"
-    day = _n(t, 4, 2)
-    return _all(f"length({x}) IN (10, 12)", f"{_n(t, 2, 2)} BETWEEN 1 AND 12", f"({day} BETWEEN 1 AND 31 OR {day} BETWEEN 61 AND 91)", _luhn(t, 10))
-
+# Fixed value: letters of Spanish tax numbers by their rest modulo 23.
+_NIF = "TRWAGMYFPDXBNJZSQVHLCKE"
 
-def se_orgnummer(x: str, dialect: str) -> str:
-    return _all(f"length({x}) = 10", f"{_d(x, 2)} >= 2", _luhn(x, 10))
 
+def _letter(letters: str, at: str, i: int) -> str:
+    """Whether character ``i`` of the candidate without dashes, in upper case, is the letter at the 0-based place ``at``."""
+    return f"substr('{letters}', cast({at} AS int) + 1, 1) = substr(upper(replace({RAW}, '-', '')), {i}, 1)"
 
-_NIF = "TRWAGMYFPDXBNJZSQVHLCKE"
 
+def es_nif() -> str:
+    return _all(f"length(replace({RAW}, '-', '')) BETWEEN 8 AND 9", _letter(_NIF, f"{LOW} % 23", -1))
 
-def _nif(number: str, letter: str) -> str:
-    return f"substr('{_NIF}', {number} % 23 + 1, 1) = {letter}"
 
+def es_nie() -> str:
+    first = f"ascii(upper({RAW}))"
+    return _all(f"length(replace({RAW}, '-', '')) = 9", f"{first} BETWEEN 88 AND 90", _letter(_NIF, f"(({first} - 88) * 10000000 + {LOW}) % 23", 9))
 
-def es_nif(x: str, dialect: str) -> str:
-    s = f"lpad(replace(upper({x}), '-', ''), 9, '0')"
-    return _all(f"length(replace({x}, '-', '')) BETWEEN 8 AND 9", _nif(_n(s, 0, 8), f"substr({s}, 9, 1)"))
 
+# Check letters of Singapore's numbers by first letter, and what the letter adds.
+_NRIC = (("ST", "JZIHGFEDCBA"), ("FG", "XWUTRQPNMLK"), ("M", "KLJNPQRTUWX"))
 
-def es_nie(x: str, dialect: str) -> str:
-    s = f"replace(upper({x}), '-', '')"
-    n = f"((ascii(substr({s}, 1, 1)) - 88) * 10000000 + {_n(s, 1, 7)})"
-    return _all(f"length({s}) = 9", f"substr({s}, 1, 1) IN ('X', 'Y', 'Z')", _nif(n, f"substr({s}, 9, 1)"))
 
+def sg_nric() -> str:
+    first = f"substr(upper({RAW}), 1, 1)"
+    total = f"({Number(7).sum((2, 7, 6, 5, 4, 3, 2))} + CASE {first} WHEN 'T' THEN 4 WHEN 'G' THEN 4 WHEN 'M' THEN 3 ELSE 0 END) % 11"
+    fits = " OR ".join(_all(f"{first} IN ({', '.join(repr(c) for c in firsts)})", _letter(letters, total, 9)) for firsts, letters in _NRIC)
+    return _all(f"length(replace({RAW}, '-', '')) = 9", f"({fits})")
 
-def sg_nric(x: str, dialect: str) -> str:
-    s = f"upper({x})"
-    total = f"({_sum(s, (2, 7, 6, 5, 4, 3, 2), 1)} + CASE substr({s}, 1, 1) WHEN 'T' THEN 4 WHEN 'G' THEN 4 WHEN 'M' THEN 3 ELSE 0 END)"
-    table = f"CASE WHEN substr({s}, 1, 1) IN ('S', 'T') THEN 'JZIHGFEDCBA' WHEN substr({s}, 1, 1) = 'M' THEN 'KLJNPQRTUWX' ELSE 'XWUTRQPNMLK' END"
-    return _all(f"length({s}) = 9", f"substr({table}, {total} % 11 + 1, 1) = substr({s}, 9, 1)")
 
+# Fixed value: check characters of Finnish personal codes by their rest modulo 31.
+_PIC = "0123456789ABCDEFHJKLMNPRSTUVWXY"
 
-def fi_pic(x: str, dialect: str) -> str:
-    n = f"({_n(x, 0, 6)} * 1000 + {_n(x, 7, 3)})"
-    return _all(f"length({x}) = 11", f"{_n(x, 0, 2)} BETWEEN 1 AND 31", f"{_n(x, 2, 2)} BETWEEN 1 AND 12", f"substr('0123456789ABCDEFHJKLMNPRSTUVWXY', {n} % 31 + 1, 1) = substr({x}, 11, 1)")
 
+def fi_pic() -> str:
+    """Day, month, year, a century mark, a serial number, a check character that may be a digit."""
+    x = f"(CASE WHEN length({DIGITS}) = 10 THEN {LOW} div 10 ELSE {LOW} END)"
+    return _all(f"length({RAW}) = 11", f"{x} div 10000000 BETWEEN 1 AND 31", f"({x} div 100000) % 100 BETWEEN 1 AND 12", f"substr('{_PIC}', cast({x} % 31 AS int) + 1, 1) = substr({RAW}, 11, 1)")
 
-def us_dea(x: str, dialect: str) -> str:
-    return _all(f"length({x}) = 9", f"({_sum(x, (1, 0, 1, 0, 1), 2)} + 2 * {_sum(x, (0, 1, 0, 1, 0, 1), 2)}) % 10 = {_d(x, 8)}")
 
+def us_dea() -> str:
+    x = Number(7)
+    return _all(f"length(replace({RAW}, '-', '')) = 9", f"{x.sum((1, 2, 1, 2, 1, 2))} % 10 = {x[6]}")
 
-#: Checks whose argument is the match's digits, not the match.
-ON_DIGITS = frozenset({"luhn", "card", "ch_ahv", "ch_uid"})
 
 CHECKS = {f.__name__: f for f in (luhn, card, iban, ch_ahv, ch_uid, us_aba, us_ssn, us_itin, us_npi, ca_sin, au_tfn, au_acn, au_abn, au_medicare, uk_nhs, pl_pesel, kr_rrn, tr_tckn, th_tnin, it_vat, de_tax, in_aadhaar, se_personnummer, se_orgnummer, es_nif, es_nie, sg_nric, fi_pic, us_dea)}
 
 
-def check_sql(name: str, x: str, dialect: str = SPARK) -> str:
-    return CHECKS[name](x, dialect)
+def _renamed(text: str, names: dict[str, str]) -> str:
+    return re.sub(rf"(?<![a-z_.])({'|'.join(names)})(?![a-z_])", lambda m: names[m[1]], text)
+
+
+def check_sql(name: str, suffix: str = "") -> str:
+    """The check over the columns RAW, DIGITS, HIGH and LOW, with a suffix to their names; null only where they are."""
+    text = CHECKS[name]()
+    return _renamed(text, {c: c + suffix for c in (RAW, DIGITS, HIGH, LOW)}) if suffix else text
+
+
+def check_any(name: str, x: str) -> str:
+    """The check as SQL over any text expression, for use outside the detectors; its digits are read once."""
+    digits = f"regexp_replace({x}, '[^0-9]', '')"
+    part = lambda at: f"cast(substr(lpad({digits}, 20, '0'), {at}, 10) AS bigint)"
+    body = _renamed(check_sql(name), {c: f"v.c{k}" for k, c in enumerate((RAW, DIGITS, HIGH, LOW))})
+    return f"exists(array(named_struct('c0', {x}, 'c1', {digits}, 'c2', {part(1)}, 'c3', {part(11)})), v -> {body})"

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.checks import ON_DIGITS, SPARK, check_sql
+from ..functions.checks import check_sql, numbers
 from ..functions.spans import base64_blob, byte_window, contains_any, identity, locate, snippet, spans
 from ..functions.timestamps import is_machine_time
+from ..plans.parallel import spread
 from ..rx import to_java
 from . import rules as R
 
@@ -97,22 +98,27 @@ def _refined(c: DataFrame) -> DataFrame:
     return c.where(~(of("email") & bad_mail) & ~(of("de_vat") & glued))
 
 
-def hits(c: DataFrame) -> DataFrame:
-    """Candidates that pass refiners, checksums and context words, one row per rule that fires."""
-    rules = R.builtin_rules()
-    c = _refined(_around(c)).withColumn("digits", F.regexp_replace("raw", "[^0-9]", "")).withColumn("token", F.replace(F.col("raw"), F.lit("-"), F.lit("")))
-    none = F.lit(None).cast("int")
-    passed = F.when(F.col("rule") < 0, none)
-    for k, r in enumerate(rules):
-        if r.check:
-            ok = base64_blob(F.col("raw")) if r.check == "base64_blob" else F.expr(check_sql(r.check, "digits" if r.check in ON_DIGITS else "raw", SPARK))
-            passed = passed.when((F.col("rule") == k) & ~F.coalesce(ok, F.lit(False)), none)
-    one = F.array(passed.otherwise(F.col("rule")))
-    n = F.length("digits")  # clusters of other lengths pass no check
-    digit = F.array(*[F.when(n.between(r.low, r.high) & F.expr(check_sql(r.check, "digits", SPARK)) & _near(r.near), k) for k, r in enumerate(R.DIGITS)])
-    token = F.array(*[F.when(F.col("token").rlike(to_java(r.pattern)) & (F.expr(check_sql(r.check, "token", SPARK)) if r.check else F.lit(True)) & _near(r.near), k) for k, r in enumerate(R.TOKENS)])
-    fired = F.when(F.col("source") == DIGIT, digit).when(F.col("source") == TOKEN, token).otherwise(one)
-    return c.withColumn("rule", F.explode(F.array_compact(fired))).drop("digits", "token")
+def hits(c: DataFrame, builtin: bool = True, digits: bool = True, tokens: bool = True, only: set[str] | None = None) -> DataFrame:
+    """Candidates that pass refiners, checksums and context words, one row per rule that fires. The flags say which sources ``c`` can hold."""
+    c = _refined(_around(c)).withColumn("digits", F.regexp_replace("raw", "[^0-9]", ""))
+    c = c.withColumns({**numbers(F.col("digits")), "token": F.replace(F.col("raw"), F.lit("-"), F.lit(""))})
+    ok = lambda check: base64_blob(F.col("raw")) if check == "base64_blob" else F.expr(check_sql(check))
+    fired = F.array()
+    if tokens:
+        by = [F.when(F.col("token").rlike(to_java(r.pattern)) & (ok(r.check) if r.check else F.lit(True)) & _near(r.near), k) for k, r in enumerate(R.TOKENS)]
+        fired = F.when(F.col("source") == TOKEN, F.array(*by)).otherwise(fired.cast("array<int>"))
+    if digits:
+        n = F.length("digits")  # clusters of other lengths pass no check
+        by = [F.when(n.between(r.low, r.high) & ok(r.check) & _near(r.near), k) for k, r in enumerate(R.DIGITS)]
+        fired = F.when(F.col("source") == DIGIT, F.array(*by)).otherwise(fired.cast("array<int>"))
+    if builtin:
+        none = F.lit(None).cast("int")
+        passed = F.when(F.col("rule") < 0, none)
+        for k, r in enumerate(R.builtin_rules()):
+            if r.check and (only is None or r.rule_id in only):
+                passed = passed.when((F.col("rule") == k) & ~F.coalesce(ok(r.check), F.lit(False)), none)
+        fired = F.when(F.col("source") == BUILTIN, F.array(passed.otherwise(F.col("rule")))).otherwise(fired.cast("array<int>"))
+    return c.withColumn("rule", F.explode(F.array_compact(fired))).drop("digits", "token", *numbers(F.col("digits")))
 
 
 def _meta(source: int, rules) -> Column:
@@ -127,11 +133,12 @@ def detect(payloads: DataFrame, id_col: str, text_col: str, builtin: bool = True
     identity, source, emit (the order of emission within a payload) and
     machine_time; ``only`` names the regex rules to run. Only the first SCAN_BYTES bytes count. Null texts give no findings.
     """
-    src = payloads.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
+    src = spread(payloads.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text"))).where(F.col("__text").isNotNull())
     big = F.octet_length("__text") > R.SCAN_BYTES
     src = src.withColumn("__text", F.when(big, F.substring(F.encode("__text", "UTF-8"), F.lit(1), F.lit(R.SCAN_BYTES)).cast("string")).otherwise(F.col("__text")))
     src = src.withColumn("__low", F.lower("__text")).withColumn("__body", F.encode("__text", "UTF-8")).withColumn("__digit", F.col("__text").rlike("[0-9]"))
-    f = hits(candidates(src, id_col, builtin, digits and depth == 0, tokens and depth == 0, only))
+    sources = builtin, digits and depth == 0, tokens and depth == 0
+    f = hits(candidates(src, id_col, *sources, only), *sources, only)
     meta = F.coalesce(_meta(BUILTIN, R.builtin_rules()), _meta(DIGIT, R.DIGITS), _meta(TOKEN, R.TOKENS))
     f = f.withColumn("m", meta).select(F.col(id_col), "m.rule_id", "m.category", "m.severity", "off", "end", "raw", "source", "rule", "ctx")
     return finish(f, id_col)

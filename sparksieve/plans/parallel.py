@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 #: Plan nodes after which Spark has dealt the rows already, or would run a job to tell the partitions.
-_DEALT = ("Exchange", "Join", "Aggregate", "Window", "Limit", "InMemory")
+_DEALT = re.compile(r"(?m)^\W*\w*(?:Exchange|Join|Aggregate|Window|Limit|InMemoryTableScan|Scan In-memory|Scan ExistingRDD)")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -18,6 +20,6 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     plan = df._jdf.queryExecution().sparkPlan().toString()
     cores = spark.sparkContext.defaultParallelism
-    if any(x in plan for x in _DEALT) or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    if _DEALT.search(plan) or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
