@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import SPAN, spans_java
-from .detect import KEYWORD, context, finish
+from ..plans.parallel import spread
+from .detect import AFTER, BEFORE, KEYWORD, context, finish
 
 # Severity by label.
 LABEL_SEVERITY = {"SECRET": "critical", "EMAIL": "high", "PHONE": "high", "ADDRESS": "high", "NAME": "medium", "COMPANY_NAME": "low", "PROJECT_NAME": "low"}
-#: Word lists up to this many entries are searched as patterns in the plan; longer ones are joined by their first word.
-INLINE = 300
+#: Word lists up to this many entries are searched as patterns in the plan; longer ones by one automaton.
+INLINE = 100
+#: Entries that one automaton, which every executor holds, may have (some 200 bytes each); longer lists are taken in blocks.
+BLOCK = 200_000
 
 
 def load_keywords(spark: SparkSession, path: str) -> list[tuple[str, str]]:
@@ -32,13 +37,86 @@ def keyword_pattern(word: str) -> str:
     return ("(?iu)" + (f"(?<!{edge})" if re.match(r"[0-9A-Za-z_]", word) else "") + re.escape(word) + (f"(?!{edge})" if re.search(r"[0-9A-Za-z_]\Z", word) else "")).replace("\\ ", " ")
 
 
+def _fold(text: str) -> str:
+    """Simple case folding, character by character, so that positions stay."""
+    if text.isascii():
+        return text.lower()
+    one = lambda c: c if len(c.upper()) != 1 or len(c.upper().lower()) != 1 else c.upper().lower()
+    return text.translate({ord(c): one(c) for c in set(text)})
+
+
+def _automaton(words: list[str]):
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    by: dict[str, list[int]] = {}
+    for k, w in enumerate(words):
+        by.setdefault(_fold(w), []).append(k)
+    for w, ks in by.items():
+        a.add_word(w, (len(w), ks))
+    a.make_automaton()
+    return a
+
+
+_WORD = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+
+
+def find_words(text: str, automaton) -> list[tuple[int, int, int]]:
+    """(start, end, entry) in characters: whole-word occurrences of each entry, those of one entry without overlap."""
+    out, until = [], {}
+    for last, (n, ks) in automaton.iter(_fold(text)):
+        a, b = last - n + 1, last + 1
+        if (text[a] in _WORD and a and text[a - 1] in _WORD) or (text[last] in _WORD and b < len(text) and text[b] in _WORD):
+            continue
+        for k in ks:
+            if until.get(k, 0) <= a:
+                until[k] = b
+                out.append((a, b, k))
+    return sorted(out)
+
+
+def _search(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(shared.value)
+        for batch in batches:
+            ids, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                body = text.encode("utf-8", "surrogatepass")
+                at = off = 0
+                for a, b, k in find_words(text, automaton):
+                    off += len(text[at:a].encode("utf-8", "surrogatepass"))
+                    at, raw = a, text[a:b]
+                    end, lo = off + len(raw.encode("utf-8", "surrogatepass")), max(0, off - BEFORE)
+                    ids.append(i)
+                    rows.append((off, end, raw, k, {"lo": lo, "bytes": body[lo : end + AFTER]}))
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.struct([("lo", pa.int64()), ("bytes", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=["id", "off", "end", "raw", "rule", "ctx"])
+
+    return run
+
+
 def detect_keywords(payloads: DataFrame, id_col: str, text_col: str, keywords: list[tuple[str, str]]) -> DataFrame:
     """Findings ``keyword:<LABEL>`` of category pii-org; the snippet is the raw text.
 
-    Different entries may overlap; occurrences of one entry do not. A text is
-    searched for an entry only if it contains it at all.
+    Different entries may overlap; occurrences of one entry do not. Up to
+    INLINE entries are patterns in the plan, and a text is searched for an
+    entry only if it contains it at all. Longer lists are one automaton per
+    BLOCK entries, broadcast as its words and run over each text once.
     """
-    text = F.col(text_col)
+    src = spread(payloads.select(F.col(id_col), F.col(text_col).alias("__t"))).where("__t is not null")
+    text = F.col("__t")
+    if len(keywords) > INLINE:
+        kind = payloads.schema[id_col].dataType.simpleString()
+        f = None
+        for at in range(0, len(keywords), BLOCK):
+            shared = payloads.sparkSession.sparkContext.broadcast([w for w, _ in keywords[at : at + BLOCK]])
+            part = src.mapInArrow(_search(shared), f"id {kind}, off long, end long, raw string, rule int, ctx struct<lo:bigint,bytes:binary>")
+            labels = payloads.sparkSession.createDataFrame([(k, at + k, f"keyword:{label}", LABEL_SEVERITY.get(label.upper(), "medium")) for k, (_, label) in enumerate(keywords[at : at + BLOCK])], "k int, n int, rule_id string, severity string")
+            part = part.join(F.broadcast(labels), F.col("rule") == F.col("k"))
+            part = part.select(F.col("id").alias(id_col), "rule_id", F.lit("pii-org").alias("category"), "severity", "off", "end", "raw", F.lit(KEYWORD).alias("source"), F.col("n").alias("rule"), "ctx")
+            f = part if f is None else f.unionByName(part)
+        return finish(f, id_col).withColumn("snippet", F.col("raw"))
     low = F.lower(text)
     body = F.encode(text, "UTF-8")
 
@@ -48,6 +126,5 @@ def detect_keywords(payloads: DataFrame, id_col: str, text_col: str, keywords: l
         return F.transform(arr, lambda x: F.struct(F.lit(f"keyword:{label}").alias("rule_id"), F.lit("pii-org").alias("category"), F.lit(sev).alias("severity"), x["off"].alias("off"), x["end"].alias("end"), x["raw"].alias("raw"), F.lit(KEYWORD).alias("source"), F.lit(k).alias("rule"), context(body, x["off"], x["end"]).alias("ctx")))
 
     parts = [entry(k, word, label) for k, (word, label) in enumerate(keywords)]
-    src = payloads.where(text.isNotNull())
     f = src.select(F.col(id_col), F.inline(F.concat(*parts)))
     return finish(f, id_col).withColumn("snippet", F.col("raw"))

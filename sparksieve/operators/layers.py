@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.parallel import spread
 from ..rx import to_bytes
 from ..schema import SEVERITIES
 from . import rules as R
@@ -280,15 +281,47 @@ class ByteScanner:
         return out
 
 
+def _even_runs() -> str:
+    """A pattern for runs of four or more chunks of one width.
+
+    A run reaches as far as chunks of any width do, so it has no further chunk
+    before or behind it (but the rest of a long word that ended another run);
+    chunks of eight may be parts of longer words.
+    """
+    c = "[0-9A-Za-z]"
+    run = lambda n: rf"(?:{c}{{{n}}}[ \t]){{3,}}{c}{{{n}}}"
+    narrow = "|".join(run(n) + rf"(?!{c})" for n in range(2, 8))
+    return rf"(?:(?<!{c})(?:(?<!{c}{{2}}[ \t])|(?<={c}{{9}}[ \t]))|(?<={c}{{8}}))(?:{narrow})(?![ \t]{c}{{2}})|{run(8)}"
+
+
+#: The least that each finder matches, but for chunks. All repeats are bounded, of one character or of a fixed width, so
+#: no loop can recurse deeply.
+_GATES = (
+    r"[A-Za-z0-9+/]{24}",
+    r"[0-9A-Fa-f]{16}",
+    r"[A-Z2-7]{16}",
+    r"(?:\\{1,2}u[0-9A-Fa-f]{4}){4}",
+    r"(?:%[0-9A-Fa-f]{2}){8}",
+    r"(?:%25[0-9A-Fa-f]{2}){8}",
+    r"(?:&#(?:x[0-9A-Fa-f]+|[0-9]+);){8}",
+    r"(?:\\u[fF][fF][0-9A-Fa-f]{2}|[\uFF01-\uFF5E\u3000]){8}",
+    r"(?:=[0-9A-Fa-f]{2}){8}",
+    r"[0-9A-Za-z_]\\+(?:\r?\n|n)[0-9A-Za-z_]",
+)
+
+
 def may_hold_layers(text: Column) -> Column:
-    """True if any finder can match; each pattern is a short fixed-width prefix of one, so no loop can recurse deeply."""
-    short = (r"[A-Za-z0-9+/]{16}", r"\\u[0-9A-Fa-f]{4}", r"%[0-9A-Fa-f]{2}%?", r"&#x?[0-9A-Fa-f]{1,8};", r"[\uFF01-\uFF5E\u3000]{4}", r"=[0-9A-Fa-f]{2}=", r"\\(?:\r?\n|n)", r"(?<![0-9A-Za-z])([0-9A-Za-z]{2})[ \t](?:[0-9A-Za-z]{2}[ \t]){2}[0-9A-Za-z]{2}")
+    """True if any finder can match a run that some rule or further layer can match; other texts never reach Python.
+
+    The join of a run of chunks needs a digit (all numbers, hex), two capitals
+    (base32) or 24 characters in all (base64); a few plain words of one length
+    have none of these.
+    """
     out = F.lit(False)
-    for p in short[:-1]:
+    for p in _GATES:
         out = out | text.rlike(p)
-    for n in range(2, 9):  # four chunks of one width in a row
-        out = out | text.rlike(r"(?:[0-9A-Za-z]{%d}[ \t]){3}[0-9A-Za-z]{%d}" % (n, n))
-    return out
+    telling = lambda r: r.rlike("[0-9]|[A-Z]{2}") | (F.length(F.regexp_replace(r, "[ \t]", "")) >= 24)
+    return out | F.exists(F.regexp_extract_all(text, F.lit(_even_runs()), F.lit(0)), telling)
 
 
 def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,7 +339,7 @@ def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def detect_layers(payloads: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Findings inside encoded runs, as detect() returns them; identities are empty, as the raw value is not in the payload."""
     kind = payloads.schema[id_col].dataType.simpleString()
-    src = payloads.select(F.col(id_col), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).where(may_hold_layers(F.col("text")))
+    src = spread(payloads.select(F.col(id_col), F.col(text_col).alias("text"))).where(F.col("text").isNotNull()).where(may_hold_layers(F.col("text")))
     out = src.mapInPandas(_peel, f"id {kind}, rule_id string, category string, severity string, off long, end long, raw string, source int, rule long, ctx struct<lo:bigint,bytes:binary>")
     f = out.select(F.col("id").alias(id_col), "rule_id", "category", "severity", "off", "end", "raw", "source", "rule", "ctx")
     return finish(f, id_col).withColumn("identity", F.lit(""))
