@@ -52,6 +52,13 @@ def decoded_body(body: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(T.StringType())
+def decode_error(body: pd.Series, encoding: pd.Series) -> pd.Series:
+    """Why a body cannot be freed of its content encoding; null if it can, or has none. Such bodies are scanned as they are."""
+    failed = lambda b, e: b is not None and bool(e) and e.strip().lower() not in ("", "identity") and decode_body(b, e) is None
+    return pd.Series([f"cannot decode content encoding {e.strip().lower()}" if failed(b, e) else None for b, e in zip(body, encoding)], dtype=object)
+
+
 def scan_input(uri: Column, body: Column) -> Column:
     """The text that is scanned: the request's uri on a line of its own, then the body."""
     return F.when(uri.isNull(), body).otherwise(F.concat(F.lit("url: "), uri, F.lit("\n"), body))

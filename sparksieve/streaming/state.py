@@ -1,7 +1,9 @@
 """Stateful streaming forms of restoring, placeholder assignment, consent and scene completion.
 
 Each keeps a small JSON state per key with ``applyInPandasWithState``; the
-batch forms in ``operators`` give the same results over complete data.
+batch forms in ``operators`` give the same results over complete data. With a
+``ttl`` (like "2 hours") a key's state is dropped once nothing has come for it
+for so long, as a proxy's mappings end with its process; without one it stays.
 """
 
 from __future__ import annotations
@@ -16,15 +18,26 @@ from pyspark.sql import functions as F
 from ..operators.rules import LABELS
 
 STATE = "json string"
-TIMEOUT = "NoTimeout"
 
 
 def _get(state) -> dict:
     return json.loads(state.get[0]) if state.exists else {}
 
 
-def _stateful(df: DataFrame, keys: list[str], run, schema: str, timeout: str = TIMEOUT) -> DataFrame:
-    return df.groupBy(*keys).applyInPandasWithState(run, schema, STATE, "append", timeout)
+def _stateful(df: DataFrame, keys: list[str], run, schema: str, ttl: str | None = None) -> DataFrame:
+    if ttl is None:
+        return df.groupBy(*keys).applyInPandasWithState(run, schema, STATE, "append", "NoTimeout")
+    millis = int(pd.Timedelta(ttl).total_seconds() * 1000)
+
+    def timed(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield from run(k, batches, state)
+        if state.exists:
+            state.setTimeoutDuration(millis)
+
+    return df.groupBy(*keys).applyInPandasWithState(timed, schema, STATE, "append", "ProcessingTimeTimeout")
 
 
 def restore_chunk(tail: str, chunk: str, pairs: list[tuple[str, str]], last: bool) -> tuple[str, str]:
@@ -42,7 +55,7 @@ def restore_chunk(tail: str, chunk: str, pairs: list[tuple[str, str]], last: boo
     return text[: len(text) - hold], text[len(text) - hold :]
 
 
-def restore_stream(chunks: DataFrame, names: dict[str, list[tuple[str, str]]], key: str = "response_id", session: str = "session_id") -> DataFrame:
+def restore_stream(chunks: DataFrame, names: dict[str, list[tuple[str, str]]], key: str = "response_id", session: str = "session_id", ttl: str | None = None) -> DataFrame:
     """(key, chunk_no, text) from a stream of (key, session, chunk_no, data, last): placeholders restored across chunks.
 
     ``names`` maps sessions to (placeholder, original) pairs. Chunks of a
@@ -60,10 +73,10 @@ def restore_stream(chunks: DataFrame, names: dict[str, list[tuple[str, str]]], k
         yield pd.DataFrame(rows, columns=[key, "chunk_no", "text"])
 
     kind = chunks.schema[key].dataType.simpleString()
-    return _stateful(chunks, [key], run, f"{key} {kind}, chunk_no long, text string")
+    return _stateful(chunks, [key], run, f"{key} {kind}, chunk_no long, text string", ttl)
 
 
-def placeholder_stream(findings: DataFrame, session: str = "session_id") -> DataFrame:
+def placeholder_stream(findings: DataFrame, session: str = "session_id", ttl: str | None = None) -> DataFrame:
     """(session, identity, placeholder) for every finding of a stream (session, seq, rule_id, identity): one value keeps one placeholder for the session's life."""
 
     def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -81,7 +94,7 @@ def placeholder_stream(findings: DataFrame, session: str = "session_id") -> Data
         yield pd.DataFrame(rows, columns=[session, "seq", "identity", "placeholder"])
 
     kind = findings.schema[session].dataType.simpleString()
-    return _stateful(findings, [session], run, f"{session} {kind}, seq long, identity string, placeholder string")
+    return _stateful(findings, [session], run, f"{session} {kind}, seq long, identity string, placeholder string", ttl)
 
 
 def consent_step(state: dict, text: str, ids: list[str], n_hits: int, bare: int, redactable: bool) -> tuple[dict, str, int]:
@@ -98,7 +111,7 @@ def consent_step(state: dict, text: str, ids: list[str], n_hits: int, bare: int,
     return {"pending": new, "consented": consented}, "BLOCKED", n_hits
 
 
-def consent_stream(requests: DataFrame, session: str = "session_id") -> DataFrame:
+def consent_stream(requests: DataFrame, session: str = "session_id", ttl: str | None = None) -> DataFrame:
     """(session, turn, decision, n) from a stream (session, turn, text, ids, n_hits, bare, redactable)."""
 
     def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -110,10 +123,10 @@ def consent_stream(requests: DataFrame, session: str = "session_id") -> DataFram
         yield pd.DataFrame(rows, columns=[session, "turn", "decision", "n"])
 
     kind = requests.schema[session].dataType.simpleString()
-    return _stateful(requests, [session], run, f"{session} {kind}, turn long, decision string, n int")
+    return _stateful(requests, [session], run, f"{session} {kind}, turn long, decision string, n int", ttl)
 
 
-def scene_stream(events: DataFrame) -> DataFrame:
+def scene_stream(events: DataFrame, ttl: str | None = None) -> DataFrame:
     """(id, outcome, n_alerts) once a request and its block or response have both been seen; a redaction alone ends nothing.
 
     ``events`` is a stream of (id, kind, n_alerts). A finished scene's state is
@@ -133,9 +146,32 @@ def scene_stream(events: DataFrame) -> DataFrame:
             state.remove()
         yield pd.DataFrame(rows, columns=["id", "outcome", "n_alerts"])
 
-    return _stateful(events, ["id"], run, "id long, outcome string, n_alerts int")
+    return _stateful(events, ["id"], run, "id long, outcome string, n_alerts int", ttl)
 
 
 def windowed_counts(findings: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Findings per time window and severity, late rows within the watermark counted; a reporting extra."""
     return findings.withWatermark(ts, late).groupBy(F.window(ts, width), "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rate_limited(events: DataFrame, key: str, ts: str = "ts", seconds: int = 30) -> DataFrame:
+    """(key, ts, message) of a stream (key, ts, message): at most one message per key in so many seconds, the first.
+
+    The state is the time of the last message let through. Within a batch
+    events are taken in order of time; an event before that time is held back.
+    """
+
+    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, rows = _get(state), []
+        last = pd.Timestamp(held["last"]) if held else None
+        for r in pd.concat(list(batches)).sort_values(ts, kind="stable").itertuples(index=False):
+            at = getattr(r, ts)
+            if last is None or at - last >= pd.Timedelta(seconds=seconds):
+                last = at
+                rows.append((k[0], at, r.message))
+        if last is not None:
+            state.update((json.dumps({"last": str(last)}),))
+        yield pd.DataFrame(rows, columns=[key, ts, "message"])
+
+    kind = events.schema[key].dataType.simpleString()
+    return _stateful(events, [key], run, f"{key} {kind}, {ts} timestamp, message string")

@@ -1,5 +1,7 @@
 """Stateful streams give what the batch forms give."""
 
+from datetime import datetime, timedelta
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -48,3 +50,11 @@ def test_scene_stream(spark, tmp_path):
     got = run(spark, tmp_path, df, state.scene_stream, "scenes")
     assert [(r["id"], r["outcome"], r["n_alerts"]) for r in got] == [(1, "response", 2)]
     assert isinstance(pd.DataFrame(got), pd.DataFrame)
+
+
+def test_rate_limited(spark, tmp_path):
+    at = lambda sec: datetime(2024, 1, 1) + timedelta(seconds=sec)
+    rows = [(0, "a", at(0), "m0"), (0, "a", at(10), "m1"), (0, "b", at(5), "n0"), (0, "a", at(30), "m2"), (1, "a", at(45), "m3"), (1, "a", at(61), "m4"), (1, "b", at(34), "n1")]
+    df = spark.createDataFrame(rows, "b int, source string, ts timestamp, message string")
+    got = run(spark, tmp_path, df, lambda s: state.rate_limited(s, "source"), "limited")
+    assert sorted(r["message"] for r in got) == ["m0", "m2", "m4", "n0"]
