@@ -31,6 +31,7 @@ PROVIDERS = (
     Provider("mistral", "https://api.mistral.ai", (), (), ("authorization",), (), "vibe", ("vibe", "mistral", "mistral-vibe")),
     Provider("generic"),
 )
+# Header and parameter names that carry credentials whatever the provider.
 HEADERS = ("authorization", "x-api-key", "anthropic-api-key", "cookie", "set-cookie")
 PARAMS = ("key", "api_key", "apikey", "api-key", "access_token", "token", "auth")
 GOOGLE = ("google-gemini", "google-vertex", "antigravity")

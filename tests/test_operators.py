@@ -43,7 +43,7 @@ def test_policy(spark):
     assert {r["n_findings"] for r in decide(df, f, "payload_id", "text", threshold="medium").collect()} == {0, 1}
     by = findings_by_payload(f, "payload_id")
     adv, agy, gem = by.select(block_advice(F.col("findings"), F.lit(True), F.lit("codex")), block_envelope(F.col("findings"), F.lit("antigravity")), block_envelope(F.col("findings"), F.lit("google-gemini"))).first()
-    assert "email-address (pii · medium)" in adv and "__EMAIL_1__" in adv and "  4. False positive?" in adv
+    assert "- medium email-address in pii: " in adv and "__EMAIL_1__" in adv and "4) If the rule is wrong" in adv and "--on-finding=redact codex" in adv
     assert json.loads(agy)["error"]["details"][0]["reason"] == "CUSTOM" and json.loads(gem)["error"]["code"] == 451
     assert "secret" not in gem.lower()
     assert "2 values" in col(spark, "", lambda v: mask_ack(F.lit(2)))[0]
