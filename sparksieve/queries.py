@@ -84,8 +84,9 @@ def builtin_sql(src: str, key: str, only=None) -> str:
 
 
 def _near_sql(words) -> str:
-    win = "lower(substr(text, CAST(greatest(off - 64, 0) + 1 AS BIGINT), CAST(off + strlen(raw) + 64 - greatest(off - 64, 0) AS BIGINT)))"
-    return "(" + " OR ".join(f"contains({win}, {q(w)})" for w in words) + ")" if words else "true"
+    """Whether a context word stands within 64 bytes of the match; bytes are compared as hex."""
+    win = "hex(encode(lower(text))[CAST(greatest(off - 64, 0) + 1 AS BIGINT):CAST(off + strlen(raw) + 64 AS BIGINT)])"
+    return "(" + " OR ".join(f"contains({win}, hex(encode({q(w.lower())})))" for w in words) + ")" if words else "true"
 
 
 def digits_sql(src: str, key: str) -> str:
@@ -287,9 +288,14 @@ def builtin_documents(spark, sf_dir):
     return detect(table(spark, sf_dir, "documents"), "doc_id", "text", digits=False, tokens=False).select("doc_id", *FINDING)
 
 
-@query(f"{_cols('doc_id')} {tokens_sql(DOCS, 'doc_id')} WHERE rule_id <> 'it-identity-card'")
+_SIGNED = "concat(text, ' · é ', {tokens}, ' · identità AB12345CD')"
+
+
+@query(f"{_cols('doc_id')} {tokens_sql('(SELECT doc_id, ' + _duck(_SIGNED.format(tokens=_tokens('doc_id'))) + ' AS text FROM documents)', 'doc_id')}")
 def token_ids_documents(spark, sf_dir):
-    return detect(table(spark, sf_dir, "documents"), "doc_id", "text", builtin=False, digits=False).where("rule_id <> 'it-identity-card'").select("doc_id", *FINDING)
+    """The token classifiers over whole documents, each signed with tokens made from its id."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_SIGNED.format(tokens=_tokens('doc_id'))} AS text")
+    return detect(docs, "doc_id", "text", builtin=False, digits=False).select("doc_id", *FINDING)
 
 
 @query(f"{_cols('payload_id')} ({all_sql(CATALOG_SQL, 'payload_id')})")
