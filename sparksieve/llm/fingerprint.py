@@ -92,11 +92,19 @@ def _bound(s: Column) -> Column:
 
 
 def match_positions(a: Column, b: Column) -> Column:
-    """array of struct(pos, other): the anchors that two sketches share, by hash, in the order of the first."""
-    shared = F.array_intersect(F.transform(a, hash_of), F.transform(b, hash_of))
-    find = lambda s: F.filter(s, lambda x: F.array_contains(shared, hash_of(x)))
-    # Both sides are ascending by hash and hold each hash once, so they correspond one to one.
-    return F.array_sort(F.zip_with(find(a), find(b), lambda x, y: F.struct(position_of(x).alias("pos"), position_of(y).alias("other"))))
+    """array of struct(pos, other): the anchors that two sketches share, by hash, in the order of the first.
+
+    Sorted together, with a mark on the second's, equal hashes are neighbours.
+    """
+    mark = 1 << 31
+    both = F.array_sort(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(F.lit(mark)))))
+
+    def pairs(u):
+        at = F.filter(F.sequence(F.lit(0), F.size(u) - 2), lambda i: hash_of(F.get(u, i)) == hash_of(F.get(u, i + 1)))
+        place = lambda x: x.bitwiseAND(F.lit(mark - 1))
+        return F.when(F.size(u) < 2, F.array().cast("array<struct<pos:bigint,other:bigint>>")).otherwise(F.transform(at, lambda i: F.struct(place(F.get(u, i)).alias("pos"), place(F.get(u, i + 1)).alias("other"))))
+
+    return F.array_sort(_let(both, pairs))
 
 
 def _in_order(m: Column) -> Column:
