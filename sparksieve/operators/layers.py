@@ -339,7 +339,9 @@ def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def detect_layers(payloads: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Findings inside encoded runs, as detect() returns them; identities are empty, as the raw value is not in the payload."""
     kind = payloads.schema[id_col].dataType.simpleString()
-    src = spread(payloads.select(F.col(id_col), F.col(text_col).alias("text"))).where(F.col("text").isNotNull()).where(may_hold_layers(F.col("text")))
+    src = spread(payloads.select(F.col(id_col), F.col(text_col).alias("text"))).where(F.col("text").isNotNull())
+    # Tied to the partition, the costly predicate is not moved below the dealing out of rows.
+    src = src.withColumn("__part", F.spark_partition_id()).where(may_hold_layers(F.col("text")) & (F.col("__part") >= 0)).select(id_col, "text")
     out = src.mapInPandas(_peel, f"id {kind}, rule_id string, category string, severity string, off long, end long, raw string, source int, rule long, ctx struct<lo:bigint,bytes:binary>")
     f = out.select(F.col("id").alias(id_col), "rule_id", "category", "severity", "off", "end", "raw", "source", "rule", "ctx")
     return finish(f, id_col).withColumn("identity", F.lit(""))
