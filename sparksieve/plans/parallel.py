@@ -17,6 +17,8 @@ def spread(df: DataFrame) -> DataFrame:
     keep one core busy. Large inputs have more splits than cores and are never
     shuffled here.
     """
+    if not hasattr(df, "_jdf"):  # a remote session plans elsewhere
+        return df
     spark = df.sparkSession
     plan = df._jdf.queryExecution().sparkPlan().toString()
     cores = spark.sparkContext.defaultParallelism
