@@ -19,6 +19,8 @@ LABEL_SEVERITY = {"SECRET": "critical", "EMAIL": "high", "PHONE": "high", "ADDRE
 INLINE = 100
 #: Entries that one automaton, which every executor holds, may have (some 200 bytes each); longer lists are taken in blocks.
 BLOCK = 200_000
+#: Findings, and bytes of their texts, that a worker holds before it hands them on: a batch of texts may have a million of them.
+FOUND_ROWS, FOUND_BYTES = 10_000, 4 << 20
 
 
 def load_keywords(spark: SparkSession, path: str) -> list[tuple[str, str]]:
@@ -61,9 +63,9 @@ def _automaton(words: list[str]):
 _WORD = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
 
 
-def find_words(text: str, automaton) -> list[tuple[int, int, int]]:
-    """(start, end, entry) in characters: whole-word occurrences of each entry, those of one entry without overlap."""
-    out, until = [], {}
+def find_words(text: str, automaton) -> Iterator[tuple[int, int, int]]:
+    """(start, end, entry) in characters, by ascending end: whole-word occurrences of each entry, those of one entry without overlap."""
+    until = {}
     for last, (n, ks) in automaton.iter(_fold(text)):
         a, b = last - n + 1, last + 1
         if (text[a] in _WORD and a and text[a - 1] in _WORD) or (text[last] in _WORD and b < len(text) and text[b] in _WORD):
@@ -71,27 +73,41 @@ def find_words(text: str, automaton) -> list[tuple[int, int, int]]:
         for k in ks:
             if until.get(k, 0) <= a:
                 until[k] = b
-                out.append((a, b, k))
-    return sorted(out)
+                yield a, b, k
+
+
+_FOUND = [("off", pa.int64()), ("end", pa.int64()), ("raw", pa.string()), ("rule", pa.int32()), ("lo", pa.int64()), ("bytes", pa.binary())]
+
+
+def _found(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    """The rows, (row of ids, then the columns of _FOUND), as one batch."""
+    at, *cols = zip(*rows)
+    off, end, raw, rule, lo, body = [pa.array(c, t) for c, (_, t) in zip(cols, _FOUND)]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), off, end, raw, rule, pa.StructArray.from_arrays([lo, body], names=["lo", "bytes"])], names=["id", "off", "end", "raw", "rule", "ctx"])
 
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(shared.value)
         for batch in batches:
-            ids, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            ids, rows, size = batch.column(0), [], 0
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
                 body = text.encode("utf-8", "surrogatepass")
-                at = off = 0
+                at = end = 0
                 for a, b, k in find_words(text, automaton):
-                    off += len(text[at:a].encode("utf-8", "surrogatepass"))
-                    at, raw = a, text[a:b]
-                    end, lo = off + len(raw.encode("utf-8", "surrogatepass")), max(0, off - BEFORE)
-                    ids.append(i)
-                    rows.append((off, end, raw, k, {"lo": lo, "bytes": body[lo : end + AFTER]}))
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.struct([("lo", pa.int64()), ("bytes", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=["id", "off", "end", "raw", "rule", "ctx"])
+                    raw = text[a:b]
+                    end += len(text[at:b].encode("utf-8", "surrogatepass"))
+                    at, off = b, end - len(raw.encode("utf-8", "surrogatepass"))
+                    lo = max(0, off - BEFORE)
+                    ctx = body[lo : end + AFTER]
+                    rows.append((i, off, end, raw, k, lo, ctx))
+                    size += len(raw) + len(ctx)
+                    if len(rows) >= FOUND_ROWS or size >= FOUND_BYTES:
+                        yield _found(ids, rows)
+                        rows, size = [], 0
+            if rows:
+                yield _found(ids, rows)
 
     return run
 
@@ -102,7 +118,8 @@ def detect_keywords(payloads: DataFrame, id_col: str, text_col: str, keywords: l
     Different entries may overlap; occurrences of one entry do not. Up to
     INLINE entries are patterns in the plan, and a text is searched for an
     entry only if it contains it at all. Longer lists are one automaton per
-    BLOCK entries, broadcast as its words and run over each text once.
+    BLOCK entries, broadcast as its words and run over each text once; their
+    findings leave the worker as they come, FOUND_ROWS at a time.
     """
     src = spread(payloads.select(F.col(id_col), F.col(text_col).alias("__t"))).where("__t is not null")
     text = F.col("__t")

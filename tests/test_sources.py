@@ -2,8 +2,10 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,29 @@ def test_ten_thousand_keywords(spark):
     assert sorted(map(tuple, got)) == [(k, 2, f"word{37 * k}x") for k in range(200)]
 
 
+def test_findings_of_a_long_list_leave_the_worker_as_they_come():
+    """Many texts with many words, one text with very many, and long entries: batches stay small, and no finding is lost."""
+    long = "y" + "".join(map(str, range(6_000)))
+    texts = ["é alpha beta 🙂 Alpha betas\n" * 200] * 200 + ["alpha " * 60_000, f"{long} é " * 200, "", "none"]
+    seen = []
+    batches = (seen.append(k) or pa.RecordBatch.from_pydict({"id": list(range(k, k + 4)), "text": texts[k : k + 4]}) for k in range(0, len(texts), 4))
+    whole = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    search = keywords._search(SimpleNamespace(value=["alpha", "beta", long]))
+    out = list(search(iter([whole])))
+    assert max(b.nbytes for b in out) < 16 << 20 and max(b.num_rows for b in out) < 50_000
+    next(search(batches))
+    assert len(seen) == 1
+    got = {(r["id"], r["off"], r["end"], r["raw"], r["rule"], r["ctx"]["lo"], r["ctx"]["bytes"]) for b in out for r in b.to_pylist()}
+    want = set()
+    for i, t in enumerate(texts):
+        body = t.encode()
+        for m in re.finditer(rb"(?i)(?<!\w)(alpha|beta|y[0-9]+)(?!\w)", body):
+            off, end = m.span()
+            raw, lo = m.group().decode(), max(0, off - 128)
+            want.add((i, off, end, raw, ["alpha", "beta", long].index(raw.lower()), lo, body[lo : end + 64]))
+    assert got == want and len(got) == sum(b.num_rows for b in out) == 180_200
+
+
 def test_ruleset_lines_and_loaders(spark, tmp_path):
     text = "first é line\n" * 300 + "token = 0123456789abcdefghij # end\nghp_" + "a1B2c3D4e5F6" * 3 + "\n"
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "key=123e4567-e89b-12d3-a456-426614174000"), (5, "x" * 10)], "payload_id int, text string")
